@@ -10,8 +10,8 @@ from talkloom.sources.tables import table
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    """Messages and attachment texts under one key; every row of both tables."""
-    own = table(spark, d, "chat_events", "event_id", "text").select(F.lit("chat_events").alias("tbl"), F.col("event_id").alias("row_key"), "text")
+    """All messages and all attachment texts under one key."""
+    own = table(spark, d, "chat_events", "event_id", "kind", "text").filter("kind = 'message'").select(F.lit("chat_events").alias("tbl"), F.col("event_id").alias("row_key"), "text")
     blobs = table(spark, d, "blob_texts", "sha256", "text").select(F.lit("blob_texts").alias("tbl"), F.col("sha256").alias("row_key"), "text")
     return own.unionByName(blobs)
 
