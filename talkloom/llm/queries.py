@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkloom.llm import pii
+from talkloom.llm import pii, secrets
 from talkloom.sources.tables import table
 
 
@@ -27,5 +27,23 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.find(_texts(spark, d), ["tbl", "row_key"]).select("tbl", "row_key", F.col("redacted").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted)}
+def _credentials(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "chat_events", "event_id", "text").select(F.lit("chat_events").alias("tbl"), F.col("event_id").alias("row_key"), "text")
+    payload = F.expr("decode(payload, 'UTF-8')")
+    raw = table(spark, d, "raw_records", "id", "payload").select(F.lit("raw_records").alias("tbl"), F.col("id").cast("string").alias("row_key"), payload.alias("text"))
+    words = secrets.dictionary(events)
+    return secrets.find(events, ["tbl", "row_key"], "text", words).unionByName(secrets.find(raw, ["tbl", "row_key"], "text", words, payload=True))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each text and each type of credential in it."""
+    return _credentials(spark, d).select("tbl", "row_key", F.explode("types").alias("secret_type")).distinct()
+
+
+def p3_masked(spark: SparkSession, d: str) -> DataFrame:
+    """All texts and payloads with the credential characters masked."""
+    return _credentials(spark, d).select("tbl", "row_key", F.col("masked").alias("text"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_masked)}
 ORACLES: dict[str, str] = {}
