@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkloom.llm import pii, secrets
+from talkloom.llm import pii, secrets, truncation
 from talkloom.sources.tables import table
 
 
@@ -29,7 +29,7 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 def _credentials(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "chat_events", "event_id", "text").select(F.lit("chat_events").alias("tbl"), F.col("event_id").alias("row_key"), "text")
-    payload = F.expr("decode(payload, 'UTF-8')")
+    payload = F.expr("make_valid_utf8(cast(payload as string))")
     raw = table(spark, d, "raw_records", "id", "payload").select(F.lit("raw_records").alias("tbl"), F.col("id").cast("string").alias("row_key"), payload.alias("text"))
     words = secrets.dictionary(events)
     return secrets.find(events, ["tbl", "row_key"], "text", words).unionByName(secrets.find(raw, ["tbl", "row_key"], "text", words, payload=True))
@@ -45,5 +45,21 @@ def p3_masked(spark: SparkSession, d: str) -> DataFrame:
     return _credentials(spark, d).select("tbl", "row_key", F.col("masked").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_masked)}
+def _cuts(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.find_cut(table(spark, d, "chat_events", "event_id", "source_kind", "text"), ["event_id"])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each event whose text was cut."""
+    return _cuts(spark, d).filter(F.col("cut_probability") >= truncation.CUT).select("event_id").distinct()
+
+
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts: events with text, cut ones and their share; each event counts once."""
+    once = _cuts(spark, d).groupBy("event_id", "source").agg(F.max("cut_probability").alias("p"))
+    cut = F.count_if(F.col("p") >= truncation.CUT)
+    return once.groupBy(F.col("source").alias("source_kind")).agg(F.count("*").alias("n_texts"), cut.alias("n_cut"), F.round(cut / F.count("*"), 6).alias("cut_share"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_masked, p6_found, p6_rates)}
 ORACLES: dict[str, str] = {}
