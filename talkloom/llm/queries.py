@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkloom.llm import pii, secrets, truncation
+from talkloom.llm import conversations, leakage, pii, secrets, truncation
 from talkloom.sources.tables import table
 
 
@@ -61,5 +61,26 @@ def p6_rates(spark: SparkSession, d: str) -> DataFrame:
     return once.groupBy(F.col("source").alias("source_kind")).agg(F.count("*").alias("n_texts"), cut.alias("n_cut"), F.round(cut / F.count("*"), 6).alias("cut_share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_masked, p6_found, p6_rates)}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each session that must be dropped, with its first reason."""
+    return conversations.validate(conversations.once(table(spark, d, "chat_events"))).filter("reason is not null").select("session_key", "reason")
+
+
+def p5_conversations(spark: SparkSession, d: str) -> DataFrame:
+    """The turns of all kept conversations."""
+    return conversations.conversations(table(spark, d, "chat_events"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each test item that leaked into a document."""
+    return leakage.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "lang", "text")).select("item_id", "doc_id").distinct()
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """For each leaked item the number of documents and the longest run."""
+    found = leakage.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "lang", "text"))
+    return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("run").alias("longest_run"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_masked, p5_found, p5_conversations, p6_found, p6_rates, p8_found, p8_items)}
 ORACLES: dict[str, str] = {}
