@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkloom.llm import conversations, leakage, pii, secrets, truncation
+from talkloom.llm import conversations, leakage, mixing, pii, residue, secrets, truncation
 from talkloom.sources.tables import table
 
 
@@ -82,5 +82,34 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("run").alias("longest_run"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_masked, p5_found, p5_conversations, p6_found, p6_rates, p8_found, p8_items)}
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents", "doc_id", "source", "text")
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Each use of a document in the mixture."""
+    return mixing.mixture(_documents(spark, d), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual shares of each source."""
+    return mixing.report(_documents(spark, d), table(spark, d, "mix_targets"))
+
+
+def _residue(spark: SparkSession, d: str) -> DataFrame:
+    return residue.score(table(spark, d, "documents", "doc_id", "text", "title"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each document that is residue instead of content."""
+    return _residue(spark, d).filter("residue").select("doc_id").distinct()
+
+
+def p10_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The documents without them."""
+    documents = table(spark, d, "documents")
+    return documents.join(p10_found(spark, d), "doc_id", "left_anti")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_masked, p5_found, p5_conversations, p6_found, p6_rates, p8_found, p8_items, p9_mixture, p9_shares, p10_found, p10_kept)}
 ORACLES: dict[str, str] = {}
