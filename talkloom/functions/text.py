@@ -92,7 +92,7 @@ def media_kind(mime: Column | str, name: Column | str) -> Column:
 
 def human_size(size: Column | str) -> Column:
     x = _c(size).cast("double")
-    one = lambda d, unit: F.concat(F.format_string("%.1f", x / d), F.lit(unit))
+    one = lambda d, unit: F.concat(F.format_string("%.1f", F.bround(x / d, 1)), F.lit(unit))  # noqa: E731  # ties to even
     return (
         F.when(x.isNull() | (x == 0), "?B").when(x < 1024, F.concat(F.format_string("%.0f", x), F.lit("B")))
         .when(x < 1024**2, one(1024.0, "KB")).when(x < 1024**3, one(1024.0**2, "MB")).otherwise(one(1024.0**3, "GB"))

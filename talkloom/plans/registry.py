@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talkloom.plans import training_queries
+from talkloom.plans import log_queries, log_sql, training_queries
 
-QUERIES = dict(training_queries.QUERIES)
-ORACLES: dict[str, str] = {}
+QUERIES = {**log_queries.QUERIES, **training_queries.QUERIES}
+ORACLES = dict(log_sql.ORACLES)
