@@ -88,8 +88,8 @@ def csv_reasons(texts: list[str]) -> list[str | None]:
         body = re.sub(r"(?:\r\n|\n|\r)\Z", "", text)
         if not _QUOTING.fullmatch(body):
             reasons[i] = "broken_quoting"
-        elif not _RECORD.fullmatch(body):
-            reasons[i] = "column_count"  # a line break outside quotes: not one record
+        elif not body or not _RECORD.fullmatch(body):
+            reasons[i] = "column_count"  # nothing, or a line break outside quotes: not one record
         else:
             whole.append(i)
             rows.append(body)

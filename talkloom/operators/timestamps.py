@@ -99,6 +99,7 @@ def with_instant(df: DataFrame, stamp: str, tz: Column, date_order: Column, out:
     forward by the length of the gap: both are what ``to_utc_timestamp`` does for a zone region.
     """
     w = f"__{out}"
+    df = df.drop(out, f"{out}_form")
     zones = known_zones()
     clean = F.trim(F.translate(F.regexp_replace(F.col(stamp), r"^[\s　]+|[\s　]+$", ""), _WIDE, _NARROW))
     parts = F.split(F.regexp_replace(clean, PATTERN, _EXTRACT), "\u0001", -1)

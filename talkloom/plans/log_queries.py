@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from talkloom.functions import text as T
 from talkloom.operators import events as E
 from talkloom.operators import pack, recall, salience, search
-from talkloom.operators.order import running
 from talkloom.sources import parsers
 from talkloom.sources.tables import table
 from talkloom.streaming import ingest
@@ -30,11 +29,11 @@ def _deduped(spark: SparkSession, d: str) -> DataFrame:
     return salience.dedup(E.positions(_events(spark, d)))
 
 
-def _merged(spark: SparkSession, d: str) -> DataFrame:
-    """All sessions as one sequence, by stamp and number, with repeated texts marked."""
-    e = _events(spark, d).withColumn("grp", F.lit("all"))
-    order = [F.coalesce("ts", F.lit("")), F.coalesce("seq", F.lit(0)), F.col("event_id")]
-    return salience.dedup(running(e, ["grp"], order, {}, position="pos"), "grp")
+def _documents_as_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as one sequence of results, of which those with one title are versions of a file."""
+    docs = table(spark, d, "documents", "doc_id", "title", "text")
+    rows = docs.select(F.lit("all").alias("grp"), F.col("doc_id").cast("string").alias("event_id"), F.col("title").alias("file_path"), F.lit("tool_result").alias("kind"), "text", F.col("doc_id").alias("pos"))
+    return salience.dedup(rows, "grp")
 
 
 def ces_events(spark, d):
@@ -124,15 +123,15 @@ def trigram_postings(spark, d):
 
 
 def exact_dedup(spark, d):
-    return _merged(spark, d).filter("deduped").select("session_key", "event_id", "first_id")
+    return _documents_as_versions(spark, d).filter("deduped").select("event_id", "first_id")
 
 
 def version_pairs(spark, d):
-    return salience.versions(_merged(spark, d), "grp").select("file_path", F.col("version").cast("bigint").alias("version"), "event_id", "next_id", "folded")
+    return salience.versions(_documents_as_versions(spark, d), "grp").select("file_path", F.col("version").cast("bigint").alias("version"), "event_id", "next_id", "folded")
 
 
 def version_diffs(spark, d):
-    return salience.fold(salience.versions(_merged(spark, d), "grp"))
+    return salience.fold(salience.versions(_documents_as_versions(spark, d), "grp"))
 
 
 def salience_lines(spark, d):

@@ -46,7 +46,7 @@ PL = EV + """, pl AS (
 DD = PL + f""", keyed AS (SELECT pl.*, {_strip('text')} AS body FROM pl),
   dd AS (SELECT keyed.*, first_value(event_id) OVER f AS first_id, coalesce(length(body) >= {salience.DEDUP_CHARS} AND row_number() OVER f > 1, false) AS deduped FROM keyed
   WINDOW f AS (PARTITION BY session_key, body ORDER BY pos))"""
-MG = EV + f""", mg AS (SELECT ev.*, {_strip('text')} AS body, row_number() OVER (ORDER BY coalesce(ts, ''), coalesce(seq, 0), event_id) AS pos FROM ev),
+MD = f"""mg AS (SELECT CAST(doc_id AS VARCHAR) AS event_id, title AS file_path, text, {_strip('text')} AS body, doc_id AS pos FROM documents),
   md AS (SELECT mg.*, first_value(event_id) OVER f AS first_id, coalesce(length(body) >= {salience.DEDUP_CHARS} AND row_number() OVER f > 1, false) AS deduped FROM mg WINDOW f AS (PARTITION BY body ORDER BY pos))"""
 DOCS = EV + f""", att AS (
   SELECT event_id, string_agg('[添付 ' || substr(sha256, 1, 12) || ']' || chr(10) || substr(text, 1, 4000), chr(10) ORDER BY sha256) AS x
@@ -174,9 +174,9 @@ ORACLES: dict[str, str] = {
     "search_fallback": f"WITH {EV} SELECT event_id, ts, {_snip('text', 'Q')} AS snippet FROM ev WHERE contains(lower(text), 'q') AND contains(lower(text), 'x')",
     "trigram_postings": f"""WITH {DOCS}, g AS (SELECT event_id, unnest(list_transform(range(1, length(lower(doc)) - 1), lambda i: substr(lower(doc), i, 3))) AS gram FROM docs WHERE length(doc) >= 3)
       SELECT gram, count(DISTINCT event_id) AS n_events, count(*) AS n_total FROM g GROUP BY gram""",
-    "exact_dedup": f"WITH {MG} SELECT session_key, event_id, first_id FROM md WHERE deduped",
-    "version_pairs": f"""WITH {MG}, v AS (SELECT file_path, event_id, text, row_number() OVER f AS version, lead(event_id) OVER f AS next_id FROM md
-        WHERE kind = 'tool_result' AND file_path IS NOT NULL AND NOT deduped WINDOW f AS (PARTITION BY file_path ORDER BY pos))
+    "exact_dedup": f"WITH {MD} SELECT event_id, first_id FROM md WHERE deduped",
+    "version_pairs": f"""WITH {MD}, v AS (SELECT file_path, event_id, text, row_number() OVER f AS version, lead(event_id) OVER f AS next_id FROM md
+        WHERE file_path IS NOT NULL AND NOT deduped WINDOW f AS (PARTITION BY file_path ORDER BY pos))
       SELECT file_path, version, event_id, next_id, length(text) >= {salience.FOLD_CHARS} AS folded FROM v WHERE next_id IS NOT NULL""",
     "salience_lines": _salience(),
     "error_fixes": _errors(),
