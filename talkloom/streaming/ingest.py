@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from talkloom.functions import text as T
 from talkloom.sources import parsers
 
-RAW = "id bigint, source_kind string, locator string, payload binary"
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def _append_new(batch: DataFrame, path: str, keys: list[str]) -> int:
@@ -50,7 +50,7 @@ def ingest_files(spark: SparkSession, source: str, out: str, checkpoint: str, so
     Files count as read through the checkpoint; rows are idempotent through their keys, so that a
     batch which runs again after a failure adds nothing twice.
     """
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(source)
+    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(source)
 
     def each(batch: DataFrame, _: int) -> None:
         text = F.expr("make_valid_utf8(cast(content as string))")
