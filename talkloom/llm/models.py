@@ -24,7 +24,7 @@ class BoostedTrees:
         score = np.full(n, self.base)
         nodes = 2 ** (self.depth + 1) - 1
         for _ in range(self.rounds):
-            p = 1 / (1 + np.exp(-score))
+            p = sigmoid(score)
             g, h = y - p, p * (1 - p) + 1e-9
             feature, cut, value = np.full(nodes, -1), np.zeros(nodes), np.zeros(nodes)
             at = np.zeros(n, dtype=int)
@@ -92,14 +92,15 @@ class HashedLogistic:
     def fit(self, rows: list[list[int]], y: np.ndarray) -> HashedLogistic:
         w, seen = np.zeros(self.size + 1), np.full(self.size + 1, 1e-3)
         order = np.random.default_rng(self.seed)
-        for _ in range(self.epochs):
-            for at in np.array_split(order.permutation(len(rows)), max(1, len(rows) // self.batch)):
+        parts = max(1, len(rows) // min(self.batch, max(16, len(rows) // 40)))
+        for _ in range(max(self.epochs, 400 // parts)):  # small samples get as many steps as larger ones
+            for at in np.array_split(order.permutation(len(rows)), parts):
                 if len(at) == 0:
                     continue
                 flat, starts = self.pack([rows[i] for i in at])
                 owner = np.repeat(np.arange(len(at)), np.diff(starts))
                 s = np.bincount(owner, w[flat], len(at)) + w[-1]
-                err = 1 / (1 + np.exp(-s)) - y[at]
+                err = sigmoid(s) - y[at]
                 used, back = np.unique(flat, return_inverse=True)
                 g = np.bincount(back, err[owner], len(used)) / len(at) + self.l2 * w[used]
                 seen[used] += g * g
@@ -118,22 +119,37 @@ class HashedLogistic:
         return np.bincount(owner, self.w[flat], len(rows)) + self.w[-1]
 
 
-def platt(score: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, float]:
-    """Slope and intercept that turn scores into probabilities (Newton steps on smoothed targets)."""
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
+
+
+def platt(score: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
+    """Slope and intercept that turn scores into probabilities (damped Newton steps, smoothed targets)."""
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+
+    def loss(a: float, b: float) -> float:
+        z = np.clip(a * score + b, -50, 50)
+        return float((np.logaddexp(0, z) - t * z).sum() + 1e-2 * (a - 1) ** 2)
+
     a, b = 1.0, 0.0
+    now = loss(a, b)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-(a * score + b)))
-        d, h = p - t, p * (1 - p) + 1e-9
-        ga, gb = (d * score).sum() + 1e-3 * (a - 1), d.sum()
-        haa, hab, hbb = (h * score * score).sum() + 1e-3, (h * score).sum(), h.sum() + 1e-9
+        p = sigmoid(a * score + b)
+        d, h = p - t, p * (1 - p) + 1e-6
+        ga, gb = (d * score).sum() + 2e-2 * (a - 1), d.sum()
+        haa, hab, hbb = (h * score * score).sum() + 2e-2, (h * score).sum(), h.sum() + 1e-6
         det = haa * hbb - hab * hab
-        if abs(det) < 1e-12:
+        if det < 1e-12:
+            break
+        da, db, size = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det, 1.0
+        while size > 1e-4 and (a - size * da <= 0 or loss(a - size * da, b - size * db) > now):
+            size /= 2
+        if size <= 1e-4:
             break
-        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
-        a, b = a - da, b - db
-        if abs(da) + abs(db) < 1e-9:
+        a, b = a - size * da, b - size * db
+        before, now = now, loss(a, b)
+        if before - now < 1e-9:
             break
     return float(a), float(b)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkloom.llm.models import HashedLogistic, platt, threshold_for
+from talkloom.llm.models import HashedLogistic, platt, sigmoid, threshold_for
 from talkloom.session import bounded_sample, spread
 
 #: Bound of the weakly labelled sample.
@@ -139,7 +139,7 @@ class ResidueModel:
             self.model.fit([rows[i] for i in seen], labels[seen])
             score = self.model.score([rows[i] for i in unseen])
             self.scale = platt(score, labels[unseen])
-            p = 1 / (1 + np.exp(-(self.scale[0] * score + self.scale[1])))
+            p = sigmoid(self.scale[0] * score + self.scale[1])
             self.cut = min(max(threshold_for(p, labels[unseen], 0.98), 0.2), 0.6)
             said, real = p >= self.cut, labels[unseen] > 0
             self.model.fit(rows, labels)
@@ -157,13 +157,13 @@ class ResidueModel:
                 owner.append(i)
         out = np.zeros(len(documents))
         if rows:
-            np.maximum.at(out, np.array(owner), 1 / (1 + np.exp(-np.clip(self.scale[0] * self.model.score(rows) + self.scale[1], -50, 50))))
+            np.maximum.at(out, np.array(owner), sigmoid(self.scale[0] * self.model.score(rows) + self.scale[1]))
         return out
 
 
 def fit_model(documents: DataFrame) -> ResidueModel:
     rows = bounded_sample(documents.filter(F.length("text") > 0).select("doc_id", "text", "title"), ["doc_id"], SAMPLE_DOCUMENTS)
-    return ResidueModel().fit(sorted({(r.text, r.title or "") for r in rows}))
+    return ResidueModel().fit(sorted((r.text, r.title or "") for r in rows))
 
 
 def score(documents: DataFrame, model: ResidueModel | None = None) -> DataFrame:

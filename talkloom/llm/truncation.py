@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkloom.llm.models import HashedLogistic
+from talkloom.llm.models import HashedLogistic, sigmoid
 from talkloom.session import bounded_sample, spread
 
 #: Bound of the sample whose values are cut artificially: rows chosen by a hash of their keys.
@@ -146,7 +146,7 @@ class CutModel:
             suspect = cut >= 0.5
             for own, other in (halves, halves[::-1]):
                 self._train([intact[i] for i in other if not suspect[i]], seed)
-                cut[own] = 1 / (1 + np.exp(-self.score([intact[i] for i in own])))
+                cut[own] = sigmoid(self.score([intact[i] for i in own]))
         prior = 0.05
         for _ in range(50):
             post = prior * cut / (prior * cut + (1 - prior) * (1 - cut) + 1e-12)
@@ -235,7 +235,7 @@ def find_cut(rows: DataFrame, keys: list[str], text: str = "text", source: str =
             kinds, texts = batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()
             prior = np.array([max(model.prior, limit_prior(k, t)) for k, t in zip(kinds, texts)])
             odds = model.score(texts) + np.log(prior / (1 - prior))
-            probability = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+            probability = sigmoid(odds)
             yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], pa.array(probability, pa.float64())], names=[*keys, "source", "cut_probability"])
 
     return spread(base).mapInArrow(run, f"{fields}, source string, cut_probability double")
