@@ -82,14 +82,16 @@ class HashedLogistic:
         self.w = np.zeros(self.size + 1, dtype=np.float32)
 
     @staticmethod
-    def pack(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """(indices, row starts) of lists of feature numbers."""
+    def pack(rows: list) -> tuple[np.ndarray, np.ndarray]:
+        """(indices, row starts) of lists or arrays of feature numbers."""
         starts = np.zeros(len(rows) + 1, dtype=np.int64)
         np.cumsum([len(r) for r in rows], out=starts[1:])
+        if rows and isinstance(rows[0], np.ndarray):
+            return np.concatenate(rows), starts
         flat = np.fromiter((i for r in rows for i in r), dtype=np.int64, count=int(starts[-1]))
         return flat, starts
 
-    def fit(self, rows: list[list[int]], y: np.ndarray) -> HashedLogistic:
+    def fit(self, rows: list, y: np.ndarray) -> HashedLogistic:
         w, seen = np.zeros(self.size + 1), np.full(self.size + 1, 1e-3)
         order = np.random.default_rng(self.seed)
         parts = max(1, len(rows) // min(self.batch, max(16, len(rows) // 40)))
@@ -101,17 +103,23 @@ class HashedLogistic:
                 owner = np.repeat(np.arange(len(at)), np.diff(starts))
                 s = np.bincount(owner, w[flat], len(at)) + w[-1]
                 err = sigmoid(s) - y[at]
-                used, back = np.unique(flat, return_inverse=True)
-                g = np.bincount(back, err[owner], len(used)) / len(at) + self.l2 * w[used]
-                seen[used] += g * g
-                w[used] -= self.rate * g / np.sqrt(seen[used])
                 gb = err.mean()
+                if len(flat) > 50_000:  # dense steps are cheaper than sorting so many features
+                    g = np.bincount(flat, err[owner], self.size + 1) / len(at) + self.l2 * w
+                    g[-1] = 0.0
+                    seen += g * g
+                    w -= self.rate * g / np.sqrt(seen)
+                else:
+                    used, back = np.unique(flat, return_inverse=True)
+                    g = np.bincount(back, err[owner], len(used)) / len(at) + self.l2 * w[used]
+                    seen[used] += g * g
+                    w[used] -= self.rate * g / np.sqrt(seen[used])
                 seen[-1] += gb * gb
                 w[-1] -= self.rate * gb / np.sqrt(seen[-1])
         self.w = w.astype(np.float32)
         return self
 
-    def score(self, rows: list[list[int]]) -> np.ndarray:
+    def score(self, rows: list) -> np.ndarray:
         if not rows:
             return np.zeros(0)
         flat, starts = self.pack(rows)

@@ -26,7 +26,7 @@ from talkloom.llm.models import HashedLogistic, platt, sigmoid, threshold_for
 from talkloom.session import bounded_sample, spread
 
 #: Bound of the weakly labelled sample.
-SAMPLE_DOCUMENTS = 12000
+SAMPLE_DOCUMENTS = 8000
 #: Share of a document's prose that page phrases must make up for a weak page label.
 PAGE_SHARE = 0.5
 _MASK = (1 << 18) - 1
@@ -93,7 +93,7 @@ def _code(token: str) -> int:
     return crc32(token.encode("utf-8", "replace"))
 
 
-def features(unit: str, share: float, title: str | None) -> list[int]:
+def features(unit: str, share: float, title: str | None) -> np.ndarray:
     """Hashed n-grams, length and title features of one unit."""
     text = PLACEHOLDER.sub(" \ue000 ", unit)
     text = HOST.sub(" host ", re.sub(r"\b[0-9a-f]{8,}\b", " hex ", text))
@@ -106,13 +106,12 @@ def features(unit: str, share: float, title: str | None) -> list[int]:
     three = two[:-1] * 1000003 ^ one[2:]
     grams = np.concatenate([one, two, three] if len(unit) < 1200 else [one, two])
     grams = np.unique((grams ^ (grams >> 17)) & _MASK)
-    out = grams.tolist()
-    if size <= 9:
-        out += ((grams * 31 + 7919 * (1 + (part == "w"))) & _MASK).tolist()
     distinct = len(set(tokens)) / max(1, len(tokens))
     own = [f"len:{size}:{part}", f"div:{int(distinct * 5)}:{size}", f"ph:{marked}", f"ph2:{marked}:{size}"]
     own += [f"t:{w}" for w in re.findall(r"\w+", (title or "none").lower())[:6]]
-    return out + [crc32(f.encode("utf-8", "replace")) & _MASK for f in own]
+    rest = np.array([crc32(f.encode("utf-8", "replace")) & _MASK for f in own], np.int64)
+    short = (grams * 31 + 7919 * (1 + (part == "w"))) & _MASK if size <= 9 else grams[:0]
+    return np.concatenate([grams, short, rest])
 
 
 class ResidueModel:

@@ -139,41 +139,39 @@ class CutModel:
         intact = [t for t, limit in zip(texts, at_limit) if t.strip() and not limit]
         if len(intact) < 4:
             return self
+        rng = np.random.default_rng(seed)
+        whole = [features(t, self.known) for t in intact]
+        cuts: list[list[int] | None] = []
+        for t in intact:
+            at = cut_position(t, rng)
+            mark = MARKS[int(rng.integers(len(MARKS)))] if rng.random() < 0.25 else ""
+            cuts.append(features(t[:at] + mark, self.known) if at else None)
+
+        def train(which: np.ndarray) -> None:
+            rows = [whole[i] for i in which] + [cuts[i] for i in which if cuts[i] is not None]
+            self.model.fit(rows, np.array([0.0] * len(which) + [1.0] * (len(rows) - len(which))))
+
         # Each half is judged by a model of the other one, so that no value vouches for itself.
         halves = [np.arange(k, len(intact), 2) for k in (0, 1)]
         cut = np.zeros(len(intact))
         for _ in range(2):
             suspect = cut >= 0.5
             for own, other in (halves, halves[::-1]):
-                self._train([intact[i] for i in other if not suspect[i]], seed)
-                cut[own] = sigmoid(self.score([intact[i] for i in own]))
+                train(other[~suspect[other]])
+                cut[own] = sigmoid(self.model.score([whole[i] for i in own]))
         prior = 0.05
         for _ in range(50):
             post = prior * cut / (prior * cut + (1 - prior) * (1 - cut) + 1e-12)
             prior = min(max(float(post.mean()), 1e-3), 0.3)
         self.prior = prior
-        clean = [t for t, p in zip(intact, post) if p < 0.5]
-        held = clean[7::8]
-        self._train([t for i, t in enumerate(clean) if i % 8 != 7] or clean, seed)
-        rng = np.random.default_rng(seed + 1)
-        cuts = [t[:at] for t in held if (at := cut_position(t, rng))]
-        right = int((self.score(held) < 0).sum()) + int((self.score(cuts) >= 0).sum())
-        self.accuracy = right / max(1, len(held) + len(cuts))
+        clean = np.flatnonzero(post < 0.5)
+        held, kept = clean[7::8], np.delete(clean, np.arange(7, len(clean), 8))
+        train(kept if len(kept) else clean)
+        judged = [cuts[i] for i in held if cuts[i] is not None]
+        right = int((self.model.score([whole[i] for i in held]) < 0).sum()) + int((self.model.score(judged) >= 0).sum())
+        self.accuracy = right / max(1, len(held) + len(judged))
         return self
 
-    def _train(self, texts: list[str], seed: int) -> None:
-        rng = np.random.default_rng(seed)
-        rows, y = [], []
-        for t in texts:
-            rows.append(features(t, self.known))
-            y.append(0.0)
-            at = cut_position(t, rng)
-            if at:
-                mark = MARKS[int(rng.integers(len(MARKS)))] if rng.random() < 0.25 else ""
-                rows.append(features(t[:at] + mark, self.known))
-                y.append(1.0)
-        self.model.fit(rows, np.array(y))
-
     def score(self, texts: list[str]) -> np.ndarray:
         """Log-odds of being cut, at even prior odds."""
         return self.model.score([features(t, self.known) for t in texts])
