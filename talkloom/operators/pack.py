@@ -33,41 +33,47 @@ def thread(deduped: DataFrame) -> DataFrame:
     return deduped.filter("actor in ('user', 'assistant') and not deduped").withColumn("clean", clean).filter(F.col("clean").rlike(r"(?U)\S"))
 
 
-def tfidf(rows: DataFrame, query: str, group: str = "session_key") -> DataFrame:
-    """(group, event_id, token, w): length-normalised TF-IDF weights; the query is one more document."""
-    query_tokens = rows.sparkSession.range(1).select(T.tokenize(F.lit(query)).alias("q"))
-    tokens = rows.select(group, "event_id", F.explode(T.tokenize("clean")).alias("token"))
-    counts = tokens.groupBy(group, "event_id", "token").agg(F.count("*").alias("c"))
-    lengths = counts.groupBy(group, "event_id").agg(F.sum("c").alias("len"))
-    own = query_tokens.select(F.explode(F.array_distinct("q")).alias("token"), F.lit(1).alias("in_query"))
+def _weights(rows: DataFrame, query: str, group: str) -> DataFrame:
+    """(group, event_id, token, df, w): TF-IDF weights before normalisation; the query is one more document."""
+    spark = rows.sparkSession
+    tokens = T.tokenize("clean")
+    each = rows.select(group, "event_id", tokens.alias("t")).withColumn("len", F.size("t")).select(group, "event_id", "len", F.explode("t").alias("token"))
+    counts = each.groupBy(group, "event_id", "len", "token").agg(F.count("*").alias("c"))
+    own = spark.range(1).select(F.explode(F.array_distinct(T.tokenize(F.lit(query)))).alias("token")).withColumn("in_query", F.lit(1))
     docs = rows.groupBy(group).agg((F.count("*") + (1 if query else 0)).alias("n"))
     df = counts.groupBy(group, "token").agg(F.count("*").alias("df0")).join(own, "token", "left")
-    df = df.select(group, "token", (F.col("df0") + F.coalesce("in_query", F.lit(0))).alias("df"))
-    raw = counts.join(lengths, [group, "event_id"]).join(df, [group, "token"]).join(docs, group)
-    raw = raw.withColumn("w", F.col("c") / F.col("len") * F.log(1 + F.col("n") / F.col("df")))
+    df = df.join(docs, group).select(group, "token", "n", (F.col("df0") + F.coalesce("in_query", F.lit(0))).alias("df"))
+    return counts.join(df, [group, "token"]).withColumn("w", F.col("c") / F.col("len") * F.log(1 + F.col("n") / F.col("df")))
+
+
+def tfidf(rows: DataFrame, query: str, group: str = "session_key") -> DataFrame:
+    """(group, event_id, token, w): TF-IDF weights of length one for each text."""
+    raw = _weights(rows, query, group)
     norms = raw.groupBy(group, "event_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norms, [group, "event_id"]).select(group, "event_id", "token", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def query_weights(rows: DataFrame, query: str, group: str = "session_key") -> DataFrame:
     """(group, token, q): normalised TF-IDF weights of the query in each group."""
-    spark = rows.sparkSession
-    tokens = spark.range(1).select(F.explode(T.tokenize(F.lit(query))).alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("c"))
-    total = counts.agg(F.sum("c").alias("len"))
+    tokens = rows.sparkSession.range(1).select(T.tokenize(F.lit(query)).alias("t")).select(F.size("t").alias("len"), F.explode("t").alias("token"))
+    counts = tokens.groupBy("token", "len").agg(F.count("*").alias("c"))
     docs = rows.groupBy(group).agg((F.count("*") + 1).alias("n"))
     present = rows.select(group, "event_id", F.explode(F.array_distinct(T.tokenize("clean"))).alias("token")).join(counts.select("token"), "token", "left_semi")
     df = present.groupBy(group, "token").agg((F.count("*") + 1).alias("df"))
-    every = docs.crossJoin(counts.crossJoin(total))  # the query's few words for each group
+    every = docs.crossJoin(F.broadcast(counts))  # the query's few words for each group
     raw = every.join(df, [group, "token"], "left").withColumn("w", F.col("c") / F.col("len") * F.log(1 + F.col("n") / F.coalesce("df", F.lit(1))))
     norms = raw.groupBy(group).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norms, group).select(group, "token", (F.col("w") / F.col("norm")).alias("q"))
 
 
 def cosine(rows: DataFrame, query: str, group: str = "session_key") -> DataFrame:
-    """(group, event_id, cosine) of each row whose text shares a word with the query."""
-    pairs = tfidf(rows, query, group).join(query_weights(rows, query, group), [group, "token"])
-    return pairs.groupBy(group, "event_id").agg(F.sum(F.col("w") * F.col("q")).alias("cosine"))
+    """(group, event_id, cosine) of each row whose text shares a word with the query.
+
+    Norms and products come from one aggregation over the weights.
+    """
+    pairs = _weights(rows, query, group).join(query_weights(rows, query, group), [group, "token"], "left")
+    sums = pairs.groupBy(group, "event_id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return sums.filter("dot is not null").select(group, "event_id", (F.col("dot") / F.col("norm")).alias("cosine"))
 
 
 def base_scores(deduped: DataFrame, query: str = "", group: str = "session_key") -> DataFrame:
