@@ -23,23 +23,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.llm.models import HashedLogistic, platt, sigmoid, threshold_for
+from talkloom.llm.truncation import vocabulary
 from talkloom.session import bounded_sample, spread
 
 #: Bound of the weakly labelled sample.
 SAMPLE_DOCUMENTS = 8000
 #: Share of a document's prose that page phrases must make up for a weak page label.
-PAGE_SHARE = 0.5
+PAGE_SHARE = 0.66
+#: Share of all corpus words from which a word counts as known (so at most 1 / share words).
+WORD_SHARE = 1e-4
+#: A prose text of at least so many words is filler when at most this share of them is known.
+FILLER_WORDS, FILLER_KNOWN = 8, 0.25
 _MASK = (1 << 18) - 1
 
 # Response states and the phrases of pages, walls, notices and filler.
 _STATES = r"Bad Request|Unauthori[sz]ed|Forbidden|Not Found|Method Not Allowed|Request Time-?out|Gone|Too Many Requests|Internal Server Error|Not Implemented|Bad Gateway|Service Unavailable|Gateway Time-?out"
 PAGE = re.compile(
     rf"\b[45]\d\d\b[\s\-:]{{0,3}}(?:{_STATES})|(?:{_STATES})[\s.]*(?:</|\n|$)|HTTP ERROR \d|\"(?:code|status)\":\s*[45]\d\d\b|page isn.t working|could not complete the request"
-    r"|access denied|do not have permission to view|session has expired|sign in (?:to|again)|log in to continue|forgot password|not a robot|checking (?:that|your browser)|this takes a few seconds|verify you are human"
+    r"|access denied|do not have permission to view|session has expired|sign in (?:to|again)|log in to continue|forgot password|^(?:e-?mail|user ?name|password)$|not a robot|checking (?:that|your browser)|this takes a few seconds|verify you are human"
     r"|enable (?:java ?script|scripts)|java ?script (?:is )?(?:required|disabled)|works best with java ?script|scripts (?:are|is)? ?switched o|without scripts|need to enable|<noscript"
     r"|we use cookies|accept all|planned maintenance|page you asked for|page (?:was )?not found|was not found on|link you followed|something went wrong|try (?:reloading|again later)|contact the (?:help|support)"
     r"|見つかりませんでした|一時的に接続できません|再度お試しください|アクセス権限がありません|管理者に連絡|JavaScript を有効に|ログインしてください|メンテナンス中|クッキー|ロボットではない",
-    re.IGNORECASE,
+    re.IGNORECASE | re.MULTILINE,
 )
 FILLER = re.compile(
     r"lorem ipsum|dolor sit amet|\[object Object\]|^undefined$|\bNaN undefined|(?:\basdf\b ?){2}|qwer qwer|(?:\btest\b ?){3}|sample text|goes here|your (?:description|text|title|name) here|add more detail here|click to edit|replace this text|insert .{1,20} here"
@@ -48,13 +53,13 @@ FILLER = re.compile(
 )
 PLACEHOLDER = re.compile(
     r"\{\{\{?[^{}\n]{1,40}\}\}\}?|\$\{[^{}\n]{1,40}\}|<%=?[^%\n]{1,40}%>|<<[^<>\n]{1,30}>>|\[\[[^\[\]\n]{1,30}\]\]|@@\w[^@\n]{0,28}@@|%[A-Za-z][A-Za-z_ ]{1,28}%|%\([A-Za-z_]\w{0,28}\)[sd]|\$[A-Za-z]\w{1,28}\$|#\{[^{}\n]{1,30}\}|\b__[A-Z][A-Z_ ]{1,28}__"
-    r"|\{[A-Za-z_぀-ヿ㐀-鿿][\w ]{1,28}\}|\[[A-Z][A-Z_ ]{2,28}\]|<[A-Z][A-Z_ ]{2,28}>|\b(?:TODO|FIXME|XXX)_[A-Z][A-Z_ ]+|○○[^○\n]{0,12}○○|〇〇[^〇\n]{0,12}〇〇|[（(【\[]ここに[^）)】\]\n]{1,16}[）)】\]]|[【\[][^】\]\n]{1,12}を(?:入力|記入)[】\]]|\bX{3,}\b"
+    r"|\{[A-Za-z_぀-ヿ㐀-鿿][\w ]{1,28}\}|\[[A-Z][A-Z_ ]{2,28}\]|<[A-Z][A-Z_ ]{2,28}>|\b(?:TODO|FIXME|XXX)_[A-Z][A-Z_ ]+|○○[^○\n]{0,12}○○|〇〇[^〇\n]{0,12}〇〇|〔[^〕\n]{1,16}〕|［[^］\n]{1,16}］|｛[^｝\n]{1,16}｝|[（(【\[]ここに[^）)】\]\n]{1,16}[）)】\]]|[【\[][^】\]\n]{1,12}を(?:入力|記入)[】\]]|\bX{3,}\b"
 )
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.DOTALL)
 _INLINE = re.compile(r"`[^`\n]*`")
 _TRACE = re.compile(r"^(?:Trace|Request id|ref)\b.*$|\b(?:Ray|Reference) #?[0-9a-f.]+\s*$|^(?:proxy|nginx|server)/[\d.]+$|^Home \| .*$|</?(?:html|body|head)[^>]*>|^#+\s*$", re.MULTILINE | re.IGNORECASE)
 HOST = re.compile(r"\b([a-z0-9\-]+\.(?:example|test|invalid|com|org|net|io)(?:\.[a-z]+)?)\b", re.IGNORECASE)
-_MARKS = re.compile(r"[{}<>$%@#\[\]○〇（【]|__|\b(?:TODO|FIXME|XXX)_|X{3}")
+_MARKS = re.compile(r"[{}<>$%@#\[\]○〇（【〔［｛]|__|\b(?:TODO|FIXME|XXX)_|X{3}")
 _GRAM = re.compile("\ue000|"
     r"[A-Za-z]+|\d|[^\W\d_A-Za-z]|[^\w\s]")
 
@@ -75,8 +80,17 @@ def units(text: str) -> list[tuple[str, float]]:
     return [(body.strip(), 1.0)] + ([(p, len(p) / whole) for p in parts if _MARKS.search(p)] if len(parts) > 1 else [])
 
 
-def weak_label(unit: str, share: float) -> int:
-    """1 residue, 0 not: placeholder marks in prose, or page and filler phrases over most of a text."""
+def known_share(unit: str, known: frozenset[str]) -> float:
+    """Share of known words among the unit's Latin words; 1 where they are few or not most of it."""
+    core = _TRACE.sub("", unit)
+    words = re.findall(r"[A-Za-z]{3,}", core)
+    if not known or len(words) < FILLER_WORDS or sum(map(len, words)) < 0.6 * len(re.sub(r"\s", "", core)):
+        return 1.0
+    return sum(w.lower() in known for w in words) / len(words)
+
+
+def weak_label(unit: str, share: float, known: frozenset[str] = frozenset()) -> int:
+    """1 residue, 0 not: placeholder marks in prose, page and filler phrases over most of a text, or no words."""
     if PLACEHOLDER.search(unit):
         return 1
     if share < PAGE_SHARE:
@@ -84,6 +98,8 @@ def weak_label(unit: str, share: float) -> int:
     core = _TRACE.sub("", unit).strip()
     if not core:
         return 0
+    if known_share(unit, known) <= FILLER_KNOWN:
+        return 1
     covered = sum(len(line) for line in re.split(r"\n|(?<=[.。])\s*", core) if line and (PAGE.search(line) or FILLER.search(line)))
     return int(covered >= PAGE_SHARE * len(core) and len(core) < 600)
 
@@ -93,7 +109,7 @@ def _code(token: str) -> int:
     return crc32(token.encode("utf-8", "replace"))
 
 
-def features(unit: str, share: float, title: str | None) -> np.ndarray:
+def features(unit: str, share: float, title: str | None, known: frozenset[str] = frozenset()) -> np.ndarray:
     """Hashed n-grams, length and title features of one unit."""
     text = PLACEHOLDER.sub(" \ue000 ", unit)
     text = HOST.sub(" host ", re.sub(r"\b[0-9a-f]{8,}\b", " hex ", text))
@@ -108,6 +124,8 @@ def features(unit: str, share: float, title: str | None) -> np.ndarray:
     grams = np.unique((grams ^ (grams >> 17)) & _MASK)
     distinct = len(set(tokens)) / max(1, len(tokens))
     own = [f"len:{size}:{part}", f"div:{int(distinct * 5)}:{size}", f"ph:{marked}", f"ph2:{marked}:{size}"]
+    rate = known_share(unit, known)
+    own += [f"kn:{int(rate * 8)}", f"kn2:{int(rate * 4)}:{size}:{part}"] + ["nowords:" + str(k) for k in range(6)] * (rate <= FILLER_KNOWN)
     own += [f"t:{w}" for w in re.findall(r"\w+", (title or "none").lower())[:6]]
     rest = np.array([crc32(f.encode("utf-8", "replace")) & _MASK for f in own], np.int64)
     short = (grams * 31 + 7919 * (1 + (part == "w"))) & _MASK if size <= 9 else grams[:0]
@@ -117,7 +135,8 @@ def features(unit: str, share: float, title: str | None) -> np.ndarray:
 class ResidueModel:
     """Weights, calibration and threshold, with its accuracy on unseen hosts."""
 
-    def __init__(self) -> None:
+    def __init__(self, known: frozenset[str] = frozenset()) -> None:
+        self.known = known
         self.model = HashedLogistic(bits=18, l2=1e-5, epochs=5, rate=0.3)
         self.scale, self.cut, self.unseen = (1.0, 0.0), 0.5, (0, 0.0, 0.0)
 
@@ -127,8 +146,8 @@ class ResidueModel:
             host = HOST.search(text)
             group = crc32((host[1].lower() if host else text[:40]).encode("utf-8", "replace")) % 5
             for unit, share in units(text):
-                rows.append(features(unit, share, title))
-                y.append(weak_label(unit, share))
+                rows.append(features(unit, share, title, self.known))
+                y.append(weak_label(unit, share, self.known))
                 groups.append(group)
         if not rows:
             return self
@@ -139,7 +158,7 @@ class ResidueModel:
             score = self.model.score([rows[i] for i in unseen])
             self.scale = platt(score, labels[unseen])
             p = sigmoid(self.scale[0] * score + self.scale[1])
-            self.cut = min(max(threshold_for(p, labels[unseen], 0.98), 0.2), 0.6)
+            self.cut = min(max(threshold_for(p, labels[unseen], 0.98), 0.2), 0.7)
             said, real = p >= self.cut, labels[unseen] > 0
             self.model.fit(rows, labels)
             self.unseen = (len(unseen), float((said & real).sum() / max(1, said.sum())), float((said & real).sum() / max(1, real.sum())))
@@ -152,7 +171,7 @@ class ResidueModel:
         rows, owner = [], []
         for i, (text, title) in enumerate(documents):
             for unit, share in units(text) if text and text.strip() else ():
-                rows.append(features(unit, share, title))
+                rows.append(features(unit, share, title, self.known))
                 owner.append(i)
         out = np.zeros(len(documents))
         if rows:
@@ -162,7 +181,8 @@ class ResidueModel:
 
 def fit_model(documents: DataFrame) -> ResidueModel:
     rows = bounded_sample(documents.filter(F.length("text") > 0).select("doc_id", "text", "title"), ["doc_id"], SAMPLE_DOCUMENTS)
-    return ResidueModel().fit(sorted((r.text, r.title or "") for r in rows))
+    known = vocabulary(documents, "text", WORD_SHARE)
+    return ResidueModel(known).fit(sorted((r.text, r.title or "") for r in rows))
 
 
 def score(documents: DataFrame, model: ResidueModel | None = None) -> DataFrame:
