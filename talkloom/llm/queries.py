@@ -112,4 +112,18 @@ def p10_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_masked, p5_found, p5_conversations, p6_found, p6_rates, p8_found, p8_items, p9_mixture, p9_shares, p10_found, p10_kept)}
-ORACLES: dict[str, str] = {}
+_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}\p{Cf}]"
+ORACLES: dict[str, str] = {
+    "p5_found": rf"""WITH ev AS (
+        SELECT event_id, session_key, seq, lower(regexp_replace(actor, '^{_SPACE}+|{_SPACE}+$', '', 'g')) AS role, kind, coalesce(NOT regexp_full_match(text, '{_SPACE}*'), false) AS said
+        FROM chat_events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ingested_at NULLS FIRST) = 1),
+      c AS (SELECT * FROM ev WHERE seq IS NULL OR seq <> -1),
+      m AS (SELECT session_key, role, seq FROM c WHERE kind = 'message' AND said),
+      s AS (SELECT k.session_key, count(c.event_id) AS n, count(c.seq) AS with_seq, count(DISTINCT c.seq) AS seqs, min(c.seq) AS low, max(c.seq) AS high,
+          count(*) FILTER (WHERE c.event_id IS NOT NULL AND (c.role IS NULL OR c.role NOT IN ('user', 'assistant', 'tool', 'system'))) AS odd
+        FROM (SELECT DISTINCT session_key FROM ev) k LEFT JOIN c USING (session_key) GROUP BY k.session_key),
+      t AS (SELECT session_key, max(seq) FILTER (WHERE role = 'user') AS asked, max(seq) FILTER (WHERE role = 'assistant') AS answered FROM m GROUP BY session_key),
+      r AS (SELECT session_key, CASE WHEN odd > 0 OR (n > 0 AND (with_seq < n OR seqs < n OR low <> 0 OR high <> n - 1)) THEN 'broken'
+          WHEN asked IS NULL AND answered IS NULL THEN 'empty' WHEN coalesce(answered, -1) <= coalesce(asked, -1) THEN 'no_reply' END AS reason FROM s LEFT JOIN t USING (session_key))
+      SELECT session_key, reason FROM r WHERE reason IS NOT NULL""",
+}
