@@ -121,6 +121,30 @@ def _redact(c: str) -> str:
     return c
 
 
+def _redact_counts() -> str:
+    """Matches of each pattern in turn, on the text that the patterns before have masked."""
+    inner = f"SELECT {_q('')} AS l0, text AS t0 FROM ev WHERE text IS NOT NULL"
+    for k, (label, pattern) in enumerate(T.REDACTIONS):
+        mask = {"url-credential": r"\1:[REDACTED:url-credential]@", "assignment": r"\1[REDACTED:assignment]"}.get(label, f"[REDACTED:{label}]")
+        kept = ", ".join(f"n{i}" for i in range(k))
+        inner = f"SELECT {kept + ', ' if kept else ''}len(regexp_extract_all(t{k}, {_q(pattern)})) AS n{k}, regexp_replace(t{k}, {_q(pattern)}, {_q(mask)}, 'g') AS t{k + 1} FROM ({inner})"
+    rows = " UNION ALL ".join(f"SELECT {_q(label)} AS label, CAST(sum(n{k}) AS BIGINT) AS n FROM r" for k, (label, _) in enumerate(T.REDACTIONS))
+    return f"WITH {EV}, r AS ({inner}) SELECT * FROM ({rows}) WHERE n > 0"
+
+
+def _mirror() -> str:
+    clean = _redact(_clean("text"))
+    slug = lambda c: f"regexp_replace(regexp_replace({c}, {_q('[^A-Za-z0-9_' + chr(92) + 'p{L}' + chr(92) + 'p{N}-]+')}, '-', 'g'), '^-+|-+$', '', 'g')"
+    key = "list_last(string_split(session_key, ':'))"
+    return f"""WITH {PL}, b AS (SELECT session_key, pos, actor, kind, ts, event_id, {clean} AS clean FROM pl), k AS (SELECT * FROM b WHERE regexp_matches(clean, {_q(_INK)})),
+      n0 AS (SELECT session_key, title, first_ts, substr({slug(f"CASE WHEN coalesce(title, '') = '' THEN {key} ELSE title END")}, 1, 60) AS g FROM sessions),
+      n AS (SELECT session_key, coalesce(substr(first_ts, 1, 10), 'undated') || '-' || regexp_replace(CASE WHEN g = '' THEN {key} ELSE g END, '-+$', '') || '-' || substr(sha256(session_key), 1, 8) || '.md' AS name,
+          '# ' || coalesce(title, session_key) || chr(10) AS head FROM n0),
+      l AS (SELECT session_key, pos AS line_no, '## ' || coalesce(actor, 'None') || CASE WHEN kind = 'message' THEN '' ELSE ' (' || kind || ')' END || ' — ' || coalesce(ts, '-') || ' ⟨e:' || substr(event_id, 1, 8) || '⟩' || chr(10) || chr(10) || clean || chr(10) AS line FROM k
+        UNION ALL SELECT session_key, 0, head FROM n WHERE session_key IN (SELECT session_key FROM k))
+      SELECT session_key, name, line_no, line FROM l JOIN n USING (session_key)"""
+
+
 def _media(path: str) -> str:
     cases = " ".join(f"WHEN regexp_matches(lower({path}), {_q(by_name)}) THEN {_q(label)}" for label, _, by_name in T.MEDIA_KINDS if by_name)
     return f"CASE {cases} ELSE {_q(T.OTHER_MEDIA)} END"
@@ -207,5 +231,7 @@ ORACLES: dict[str, str] = {
     "raw_unique": "SELECT locator, sha256, id FROM raw_records QUALIFY row_number() OVER (PARTITION BY locator, sha256 ORDER BY ingested_at NULLS FIRST, id) = 1",
     "key_prefixes": f"WITH {EV} SELECT split_part(session_key, ':', 1) AS prefix, count(*) AS n FROM ev GROUP BY prefix ORDER BY n DESC, prefix LIMIT 8",
     "redacted": f"WITH {EV} SELECT event_id, {_redact('text')} AS text FROM ev",
+    "redact_counts": _redact_counts(),
+    "mirror_docs": _mirror(),
     "tumbling_counts": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
