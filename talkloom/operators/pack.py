@@ -104,7 +104,9 @@ def section_rows(deduped: DataFrame, group: str = "session_key") -> DataFrame:
     every = lines.unionByName(fixes).unionByName(files)
     limits = F.create_map(*[x for name, _, cap in SECTIONS for x in (F.lit(name), F.lit(cap))])
     order = Window.partitionBy(group, "section").orderBy("pos", "line_no", "text")
-    return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limits[F.col("section")]).select(group, "section", "rank", "text", "event_id")
+    most = max(cap for _, _, cap in SECTIONS)  # a constant limit prunes before the shuffle
+    ranked = every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    return ranked.filter(F.col("rank") <= limits[F.col("section")]).select(group, "section", "rank", "text", "event_id")
 
 
 def _tokens(text: str) -> int:

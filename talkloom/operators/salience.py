@@ -48,10 +48,11 @@ def versions(deduped: DataFrame, group: str = "session_key") -> DataFrame:
 
     ``folded`` marks versions that are replaced by the difference to the next one.
     """
-    own = deduped.filter("kind = 'tool_result' and file_path is not null and not deduped")
-    by_file = Window.partitionBy(group, "file_path").orderBy("pos")
-    rows = own.withColumn("version", F.row_number().over(by_file)).withColumn("next_id", F.lead("event_id").over(by_file)).withColumn("next_text", F.lead("text").over(by_file))
-    rows = rows.filter("next_id is not null").withColumn("folded", F.length("text") >= FOLD_CHARS)
+    own = deduped.filter("kind = 'tool_result' and file_path is not null and not deduped").select(group, "file_path", "pos", "event_id", "text")
+    # Numbered by running positions and joined to the next number, so that a hot file is split.
+    placed = running(own, [group, "file_path"], [F.col("pos")], {}, position="version")
+    after = placed.select(group, "file_path", (F.col("version") - 1).alias("version"), F.col("event_id").alias("next_id"), F.col("text").alias("next_text"))
+    rows = placed.join(after, [group, "file_path", "version"]).withColumn("folded", F.length("text") >= FOLD_CHARS)
     return rows.select(group, "file_path", "version", "event_id", "next_id", "text", "next_text", "folded")
 
 
