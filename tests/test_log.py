@@ -193,3 +193,22 @@ def test_redaction(spark):
     assert all(r.got == r.want for r in out)
     counts = {r.label: r.n for r in salience.redaction_counts(spark.createDataFrame(rows, "text string, want string")).collect()}
     assert counts == {"anthropic/openai-key": 1, "url-credential": 1, "assignment": 1}
+
+
+def test_sql_functions(spark):
+    from talkloom.functions import sql
+
+    assert "strip_noise" in sql.register(spark)
+    rows = spark.createDataFrame(list(enumerate(TEXTS)), "i int, t string").selectExpr("i", "t", "strip_noise(t) AS c", "estimate_tokens(t) AS n", "truncate_text(t, 50) AS x", "sha8(t) AS s", "normalise_blanks(t) AS b")
+    columns = rows.withColumn("c2", T.strip_noise("t")).withColumn("n2", T.estimate_tokens("t")).withColumn("x2", T.truncate("t", 50)).collect()
+    assert all((r.c, r.n, r.x) == (r.c2, r.n2, r.x2) and len(r.s) == 8 for r in columns)
+
+
+def test_command_line(capsys, spark, tmp_path):
+    from talkloom.__main__ import main
+    from tests.conftest import DATA
+
+    main(["key_prefixes", DATA])
+    assert "claude_code" in capsys.readouterr().out
+    main(["key_prefixes", DATA, str(tmp_path / "o")])
+    assert spark.read.parquet(str(tmp_path / "o")).count() > 0
