@@ -19,7 +19,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.llm.models import BoostedTrees, platt, sigmoid, threshold_for
@@ -274,15 +274,31 @@ class Detector:
         return out
 
 
-#: Cheap test before any Python runs: each generator needs one of these to propose a span, but for
-#: unspaced kanji names, whose words the mined lexicon adds.
-PREFILTER = (
-    r"[@＠]|[\[({<]\s?(?:at|AT|At|アット)|\s(?:AT|at)\s\S+\s(?:DOT|dot)\s|\sAT\s"
-    r"|[0-9０-９][0-9０-９()（） .．－-]{7,}[0-9０-９]|[0-9０-９]{7}|[A-Za-z]{2}[ ]?[0-9]{2} [0-9]{2} [0-9]{2}|(?i:ssn|passport|licen[cs]e|national id|tax id)|番号[: ：は]|マイナンバー"
-    r"|stra(?:ß|ss)e|\brue\b|[Bb]ox [0-9]|〒|丁目|[市区町村郡].{0,12}[0-9]|[0-9]+,? (?:\p{Lu}[\w'-]* ){1,4}|\p{Lu}\w+(?:weg|platz|gasse|allee|ring|str\.) [0-9]"
-    r"|(?<![A-Za-z0-9_@.`/-])(?:\p{Lu}\p{Ll}+(?:-\p{Lu}?\p{Ll}+)*|\p{Lu}{2,}(?:-\p{Lu}+)*)(?: \p{Lu}\.)?,? (?:\p{Lu}\p{Ll}+|\p{Lu}{2,})"
-    r"|\p{IsHan}{1,3}[ 　]\p{IsHan}{1,3}|\p{IsHan}{2,6}(?:さん|様|氏|殿)"
-)
+# What Python's \s, \w and \d match in text, for Java's patterns; Java may not know the newest characters (Cn).
+_SPACE, _WORD, _DIGIT = r"\s\x1c-\x1f\x85\p{Z}", r"\p{L}\p{N}\p{Cn}_", r"[\p{Nd}\p{Cn}]"
+
+
+def _jvm(pattern: str) -> str:
+    """A generator's pattern, whose ``\\s`` and ``\\w`` stand within classes, in Java's syntax."""
+    for old, new in (("?P<", "?<"), ("(?i:", "(?iu:"), (r"\d", _DIGIT), (r"\s", _SPACE), (r"\w", _WORD)):
+        pattern = pattern.replace(old, new)
+    return pattern
+
+
+#: Cheap test of narrowed text before any Python runs: what each generator needs to propose a span, but
+#: for unspaced kanji names, whose words the mined lexicon adds.
+PREFILTER = "|".join([
+    rf"@|[(\[{{<][{_SPACE}]?(?:at|AT|At|アット)[{_SPACE}]?[)\]}}>]|[{_SPACE}]AT[{_SPACE}]| at [A-Za-z0-9\-]+[{_SPACE}]?[(\[{{<]?[{_SPACE}]?(?:dot|DOT)",
+    # Phone numbers have nine digits, of which an extension holds at most five.
+    rf"{_DIGIT}(?:[ .()\-]{{0,2}}{_DIGIT}){{8}}|{_DIGIT}(?:[ .()\-]{{0,2}}{_DIGIT}){{3}}[{_SPACE}]?(?:ext\.?|x|内線)[{_SPACE}]?{_DIGIT}",
+    _jvm(ID.pattern),
+    rf"{_DIGIT}[A-Za-z]?,? (?:{_jvm(_CAP)} ){{1,4}}(?:{_STREET})|(?:straße|strasse|str\.|weg|platz|gasse|allee|ring)[{_SPACE}]{_DIGIT}",
+    rf"{_DIGIT}(?: (?:bis|ter))?,? (?:rue|avenue|boulevard|place|chemin|quai|allée|impasse|cours) ",
+    rf"P\.?[{_SPACE}]?O\.?[{_SPACE}]?Box[{_SPACE}]{_DIGIT}|〒[{_SPACE}]?{_DIGIT}{{3}}|[都道府県][一-鿿ヶぁ-んァ-ン]{{1,8}}[市区町村郡][一-鿿ヶぁ-んァ-ン]{{0,12}}{_DIGIT}",
+    rf"{_DIGIT} (?:street|lane|road|avenue) of the|(?:Street|Lane|Road|Square|Pier|Quay) (?:of|{_DIGIT}|[A-ZÀ-Þ])",
+    NAME.pattern.replace("?P<", "?<"),
+    rf"(?<![{_KANJI}])[{_KANJI}]{{1,3}} (?:[{_KANJI}]{{1,3}}|[ぁ-ん]{{2,4}}|[ァ-ン]{{2,4}})|[{_KANJI}]{{2}}(?:さん|様|氏|殿)",
+])
 #: Bound of the mined lexicon's part in the prefilter.
 LEXICON_WORDS = 2000
 
@@ -295,6 +311,12 @@ def prefilter(lexicon: Lexicon | None = None) -> str:
     return PREFILTER + "".join("|" + w for w in sorted(words))
 
 
+def narrowed(column: str) -> Column:
+    """As :func:`narrow`, for a column; only texts with wide forms pay for it."""
+    wide = "".join(map(chr, _WIDE))
+    return F.when(F.col(column).rlike(r"[！-～\u3000\xa0\u2010\u2011\u2013\u2212]"), F.translate(column, wide, "".join(map(chr, _WIDE.values())))).otherwise(F.col(column))
+
+
 def fit_detector(texts: DataFrame, keys: list[str], column: str = "text") -> Detector:
     """Fits on about ``SAMPLE_TEXTS`` texts; those without any candidate teach nothing."""
     rows = bounded_sample(texts.filter(F.length(column) > 0).select(*keys, F.col(column).alias("__t")), keys, SAMPLE_TEXTS)
@@ -309,7 +331,7 @@ def find(rows: DataFrame, keys: list[str], text: str = "text", detector: Detecto
     """
     detector = detector or fit_detector(rows, keys, text)
     picked = spread(rows.select(*keys, F.col(text).alias("__text")))
-    maybe = F.coalesce(F.col("__text").rlike(prefilter(detector.lexicon)), F.lit(False))
+    maybe = F.coalesce(narrowed("__text").rlike(prefilter(detector.lexicon)), F.lit(False))
     fields = ", ".join(f"`{k}` {picked.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{fields}, spans array<struct<start:int,end:int,type:string>>, redacted string"
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string())]))
