@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,18 +113,6 @@ def _tokens(text: str) -> int:
     return len(re.findall(r"[A-Za-z0-9_]+", text)) + len(re.findall(r"[^\sA-Za-z0-9_]", text))
 
 
-def _vector(text: str) -> dict[str, float]:
-    import re
-
-    words = [w.lower() for w in re.findall(r"[A-Za-z0-9_]+", text)]
-    for run in re.findall(r"[぀-ヿ㐀-鿿豈-﫿]+", text):
-        words += [run] if len(run) == 1 else [run[i : i + 2] for i in range(len(run) - 1)]
-    out: dict[str, float] = {}
-    for w in words:
-        out[w] = out.get(w, 0.0) + 1.0
-    return out
-
-
 def select_diverse(base: list[float], vectors: list[dict[str, float]], costs: list[int], left: int) -> list[int]:
     """Indices in order of choice: best score less similarity to the chosen ones, until one does not fit."""
     chosen: list[int] = []
@@ -152,8 +138,12 @@ def packs(events: DataFrame, query: str = "", budget: int = BUDGET, title: str =
     53 section rows and 800 candidates, whatever its length.
     """
     deduped = salience.dedup(positions(events)).persist()
-    sections = section_rows(deduped).select("session_key", F.lit(0).alias("part"), "section", F.col("rank").cast("bigint").alias("i"), "text", "event_id", F.lit(None).cast("string").alias("actor"), F.lit(None).cast("string").alias("ts"), F.lit(0.0).alias("base"), F.lit(0).cast("bigint").alias("n"))
-    best = candidates(base_scores(deduped, query)).select("session_key", F.lit(1).alias("part"), F.col("source_kind").alias("section"), F.col("i").cast("bigint").alias("i"), F.substring("clean", 1, 4 * ITEM_CHARS).alias("text"), "event_id", "actor", "ts", "base", F.col("n").cast("bigint").alias("n"))
+    sections = section_rows(deduped).select("session_key", F.lit(0).alias("part"), "section", F.col("rank").cast("bigint").alias("i"), "text", "event_id", F.lit(None).cast("string").alias("actor"), F.lit(None).cast("string").alias("ts"), F.lit(0.0).alias("base"), F.lit(None).cast("array<string>").alias("words"), F.lit(None).cast("array<double>").alias("weights"))
+    chosen_from = candidates(base_scores(deduped, query))
+    # Weights of whole texts, with document frequencies over the whole thread and the query.
+    weights = tfidf(thread(deduped), query).join(chosen_from.select("session_key", "event_id"), ["session_key", "event_id"], "left_semi")
+    weights = weights.groupBy("session_key", "event_id").agg(F.sort_array(F.collect_list(F.struct("token", "w"))).alias("v"))
+    best = chosen_from.join(weights, ["session_key", "event_id"], "left").select("session_key", F.lit(1).alias("part"), F.col("source_kind").alias("section"), F.col("i").cast("bigint").alias("i"), F.substring("clean", 1, 4 * ITEM_CHARS).alias("text"), "event_id", "actor", "ts", "base", F.col("v.token").alias("words"), F.col("v.w").alias("weights"))
     order = {name: k for k, (name, _, _) in enumerate(SECTIONS)}
     titles = {name: t for name, t, _ in SECTIONS}
 
@@ -172,17 +162,7 @@ def packs(events: DataFrame, query: str = "", budget: int = BUDGET, title: str =
         mark = " …[truncated]"
         texts = [t if len(t) <= ITEM_CHARS else t[: ITEM_CHARS - len(mark)] + mark for t in items.text]
         heads = [f"**{a}** ({s} {t or ''}) ⟨e:{e[:8]}⟩" for a, s, t, e in zip(items.actor, items.section, items.ts, items.event_id)]
-        raw = [_vector(t) for t in items.text]
-        df: dict[str, int] = {}
-        for v in raw:
-            for t in v:
-                df[t] = df.get(t, 0) + 1
-        n = int(items.n.max()) if len(items) else 1
-        vectors = []
-        for v in raw:
-            w = {t: c * math.log(1 + n / df[t]) for t, c in v.items()}
-            norm = math.sqrt(sum(x * x for x in w.values())) or 1.0
-            vectors.append({t: x / norm for t, x in w.items()})
+        vectors = [{} if t is None else dict(zip(t, w)) for t, w in zip(items.words, items.weights)]
         costs = [_tokens(h + t) + ITEM_OVERHEAD for h, t in zip(heads, texts)]
         chosen = select_diverse(list(items.base), vectors, costs, budget - used)
         used += sum(costs[i] for i in chosen)

@@ -1,6 +1,7 @@
 """Small fixtures for the log operators, with values worked out by hand or by plain Python."""
 
 import difflib
+import math
 import re
 
 import pytest
@@ -212,3 +213,24 @@ def test_command_line(capsys, spark, tmp_path):
     assert "claude_code" in capsys.readouterr().out
     main(["key_prefixes", DATA, str(tmp_path / "o")])
     assert spark.read.parquet(str(tmp_path / "o")).count() > 0
+
+
+def test_pack_similarities_of_whole_texts(spark, monkeypatch):
+    """Weights count words of whole texts, with document frequencies over the thread and the query."""
+    monkeypatch.setattr(pack, "CANDIDATES", 6)
+    words = "alpha beta gamma delta index plan".split()
+    texts = [" ".join(words[(i * k + k) % 6] for k in range(1, 5)) + f" own{i}" for i in range(14)]
+    texts[12], texts[13] = ("pad " * 1500 + f"{tail} " * 3000 for tail in ("gamma", "delta"))
+    rows = spark.createDataFrame([(f"{i:08x}" + "0" * 24, *event(i, t)[1:]) for i, t in enumerate(texts)], SCHEMA)
+    scored = {r.event_id[:8]: r for r in pack.base_scores(salience.dedup(E.positions(rows)), "index").collect()}
+    docs = [re.findall(r"\w+", t) for t in [*texts, "index"]]
+    vectors = {}
+    for i, d in enumerate(docs[:-1]):
+        w = {t: d.count(t) / len(d) * math.log(1 + len(docs) / sum(t in x for x in docs)) for t in set(d)}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        vectors[f"{i:08x}"] = {t: x / norm for t, x in w.items()}
+    best = sorted(scored, key=lambda e: (-scored[e].base, scored[e].i))[:6]
+    body = pack.packs(rows, "index", budget=800).first().body
+    got = re.findall(r"^\*\*.*⟨e:(\w+)⟩$", body, re.M)
+    order = pack.select_diverse([scored[e].base for e in best], [vectors[e] for e in best], [1] * 6, len(got))
+    assert 1 < len(got) < 6 and set(got) == {best[i] for i in order}
