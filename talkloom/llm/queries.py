@@ -31,7 +31,7 @@ def _credentials(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "chat_events", "event_id", "text").select(F.lit("chat_events").alias("tbl"), F.col("event_id").alias("row_key"), "text")
     payload = F.expr("make_valid_utf8(cast(payload as string))")
     raw = table(spark, d, "raw_records", "id", "payload").select(F.lit("raw_records").alias("tbl"), F.col("id").cast("string").alias("row_key"), payload.alias("text"))
-    words = secrets.dictionary(events)
+    words = secrets.dictionary(events.select("text"), raw.select("text"))
     return secrets.find(events, ["tbl", "row_key"], "text", words).unionByName(secrets.find(raw, ["tbl", "row_key"], "text", words, payload=True))
 
 
