@@ -96,6 +96,11 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(_documents(spark, d), table(spark, d, "mix_targets"))
 
 
+def p9_temperature(spark: SparkSession, d: str) -> DataFrame:
+    """Weights of plain temperature mixing of the sources."""
+    return mixing.temperature(_documents(spark, d), table(spark, d, "mix_targets"))
+
+
 def _residue(spark: SparkSession, d: str) -> DataFrame:
     return residue.score(table(spark, d, "documents", "doc_id", "text", "title"))
 
@@ -111,7 +116,7 @@ def p10_kept(spark: SparkSession, d: str) -> DataFrame:
     return documents.join(p10_found(spark, d), "doc_id", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_masked, p5_found, p5_conversations, p6_found, p6_rates, p8_found, p8_items, p9_mixture, p9_shares, p10_found, p10_kept)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_masked, p5_found, p5_conversations, p6_found, p6_rates, p8_found, p8_items, p9_mixture, p9_shares, p9_temperature, p10_found, p10_kept)}
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}\p{Cf}]"
 ORACLES: dict[str, str] = {
     "p5_found": rf"""WITH ev AS (
