@@ -71,6 +71,12 @@ def p5_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(table(spark, d, "chat_events"))
 
 
+def p5_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """All rows rebuilt as if none had a session key: each component that must be dropped, with its reason."""
+    hidden = table(spark, d, "chat_events").withColumn("session_key", F.lit(None).cast("string"))
+    return conversations.validate(conversations.once(hidden)).filter("reason is not null").select("session_key", "reason")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Each test item that leaked into a document."""
     return leakage.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "lang", "text")).select("item_id", "doc_id").distinct()
@@ -116,10 +122,9 @@ def p10_kept(spark: SparkSession, d: str) -> DataFrame:
     return documents.join(p10_found(spark, d), "doc_id", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_masked, p5_found, p5_conversations, p6_found, p6_rates, p8_found, p8_items, p9_mixture, p9_shares, p9_temperature, p10_found, p10_kept)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_masked, p5_found, p5_conversations, p5_rebuilt, p6_found, p6_rates, p8_found, p8_items, p9_mixture, p9_shares, p9_temperature, p10_found, p10_kept)}
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}\p{Cf}]"
-ORACLES: dict[str, str] = {
-    "p5_found": rf"""WITH ev AS (
+_DROPPED = rf"""WITH ev AS (
         SELECT event_id, session_key, seq, lower(regexp_replace(actor, '^{_SPACE}+|{_SPACE}+$', '', 'g')) AS role, kind, coalesce(NOT regexp_full_match(text, '{_SPACE}*'), false) AS said
         FROM chat_events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ingested_at NULLS FIRST) = 1),
       c AS (SELECT * FROM ev WHERE seq IS NULL OR seq <> -1),
@@ -129,6 +134,10 @@ ORACLES: dict[str, str] = {
         FROM (SELECT DISTINCT session_key FROM ev) k LEFT JOIN c USING (session_key) GROUP BY k.session_key),
       t AS (SELECT session_key, max(seq) FILTER (WHERE role = 'user') AS asked, max(seq) FILTER (WHERE role = 'assistant') AS answered FROM m GROUP BY session_key),
       r AS (SELECT session_key, CASE WHEN odd > 0 OR (n > 0 AND (with_seq < n OR seqs < n OR low <> 0 OR high <> n - 1)) THEN 'broken'
-          WHEN asked IS NULL AND answered IS NULL THEN 'empty' WHEN coalesce(answered, -1) <= coalesce(asked, -1) THEN 'no_reply' END AS reason FROM s LEFT JOIN t USING (session_key))
-      SELECT session_key, reason FROM r WHERE reason IS NOT NULL""",
+          WHEN asked IS NULL AND answered IS NULL THEN 'empty' WHEN coalesce(answered, -1) <= coalesce(asked, -1) THEN 'no_reply' END AS reason FROM s LEFT JOIN t USING (session_key))"""
+ORACLES: dict[str, str] = {
+    "p5_found": _DROPPED + " SELECT session_key, reason FROM r WHERE reason IS NOT NULL",
+    # The components must be the sessions that the hidden keys name; each is known by its smallest event id.
+    "p5_rebuilt": _DROPPED + " SELECT 'component:' || (SELECT min(event_id) FROM ev WHERE ev.session_key = r.session_key) AS session_key, reason FROM r WHERE reason IS NOT NULL",
+    "p5_conversations": _DROPPED + rf", k AS (SELECT session_key FROM r WHERE reason IS NULL), f AS (SELECT * FROM chat_events WHERE seq <> -1 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ingested_at NULLS FIRST) = 1) SELECT session_key, seq AS turn, lower(regexp_replace(actor, '^{_SPACE}+|{_SPACE}+$', '', 'g')) AS role, kind, text FROM f WHERE session_key IN (SELECT session_key FROM k)",
 }
