@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -29,6 +30,8 @@ from talkloom.session import spread
 WORDS, CHARS = (6, 7), (15, 16)
 #: Up to this many characters of evaluation texts, they go to every task; beyond, a join is used.
 MAX_SENT_CHARS = 20_000_000
+#: Parts into which the documents of one fingerprint are split in the shuffle join.
+SALTS = 16
 
 _CJK = "⺀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"
 _TOKEN = re.compile(rf"[^\W_{_CJK}]+|[{_CJK}]")
@@ -36,11 +39,31 @@ _HAS_CJK = re.compile(f"[{_CJK}]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+class _Marks(dict):
+    """Code points to themselves, marks and format characters to nothing; filled as they occur."""
+
+    def __missing__(self, code: int) -> int | None:
+        self[code] = None if unicodedata.category(chr(code)) in ("Mn", "Me", "Mc", "Cf") else code
+        return self[code]
+
+
+class _Codes(dict):
+    """Hashes of words; emptied when it grows too large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 20:
+            self.clear()
+        self[word] = crc32(word.encode("utf-8", "replace"))
+        return self[word]
+
+
+_MARKS, _CODES = _Marks(), _Codes()
+
+
 def plain(text: str) -> str:
     """Case, width and marks removed; apostrophes and format characters vanish within words."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if not (unicodedata.category(c) in ("Mn", "Me", "Mc", "Cf")))
+        text = unicodedata.normalize("NFKD", text).translate(_MARKS)
     return text.casefold().replace("'", "").replace("’", "")
 
 
@@ -48,31 +71,50 @@ def words(text: str) -> list[str]:
     return _TOKEN.findall(plain(text))
 
 
-def characters(text: str) -> list[str]:
-    return [c for c in plain(text) if c.isalnum()]
+def characters(text: str) -> str:
+    return "".join(filter(str.isalnum, plain(text)))
+
 
+def _numbers(texts: list) -> np.ndarray:
+    """A number for each token of all texts: the character itself, or the hash of a word."""
+    if isinstance(texts[0], str):
+        return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return np.fromiter(map(_CODES.__getitem__, chain.from_iterable(texts)), np.uint64, sum(map(len, texts)))
 
-def fingerprints(tokens: list[str], k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions) that winnowing keeps; the rightmost of equal minima."""
-    n = len(tokens) - k + 1
-    if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if k > 8:
-        ids = np.frombuffer("".join(t[0] for t in tokens).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    else:
-        ids = np.fromiter((crc32(t.encode()) for t in tokens), np.uint64, len(tokens))
+
+def _gram_hashes(ids: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each k-gram."""
+    n = len(ids) - k + 1
+    h = np.zeros(max(0, n), np.uint64)
     with np.errstate(over="ignore"):
-        h = np.zeros(n, np.uint64)
-        for j in range(k):
+        for j in range(k if n > 0 else 0):
             h = (h ^ ids[j : j + n]) * _MIX
             h ^= h >> np.uint64(29)
         h *= _MIX
         h ^= h >> np.uint64(32)
-    if n <= w:
-        at = np.array([n - 1 - int(h[::-1].argmin())])
-        return h[at], at
-    windows = np.lib.stride_tricks.sliding_window_view(h[::-1], w)
-    at = np.unique(n - 1 - (windows.argmin(axis=1) + np.arange(n - w + 1)))
+    return h
+
+
+def _winnowed(h: np.ndarray, starts: np.ndarray, w: int) -> np.ndarray:
+    """Positions that winnowing keeps, the rightmost of equal minima, of windows with the given starts."""
+    best, at = h[starts], starts.copy()
+    for j in range(1, w):
+        value = h[starts + j]
+        less = value <= best
+        best = np.where(less, value, best)
+        at = np.where(less, starts + j, at)
+    kept = np.zeros(len(h), bool)
+    kept[at] = True
+    return np.flatnonzero(kept)
+
+
+def fingerprints(tokens: list[str] | str, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) that winnowing keeps of one text; of a text with fewer than w k-grams one."""
+    h = _gram_hashes(_numbers([tokens]), k)
+    if not len(h):
+        return h, np.zeros(0, np.int64)
+    w = min(w, len(h))
+    at = _winnowed(h, np.arange(len(h) - w + 1), w)
     return h[at], at
 
 
@@ -82,7 +124,7 @@ class EvalSet:
     def __init__(self, items: list[tuple[int, str | None, str | None]]):
         self.levels = []
         for japanese, cut, (k, w) in ((False, words, WORDS), (True, characters, CHARS)):
-            tokens: dict[int, list[str]] = {}
+            tokens: dict[int, list[str] | str] = {}
             hashes, owners, places = [], [], []
             for item, lang, text in items:
                 if not text or is_japanese(lang, text) != japanese:
@@ -100,33 +142,48 @@ class EvalSet:
             join = lambda parts: (np.concatenate(parts) if parts else np.zeros(0, np.int64))[order]
             self.levels.append((cut, k, w, h[order], join(owners), join(places), tokens))
 
-    def matches(self, text: str | None) -> dict[int, int]:
-        """Longest shared run, in words or characters, of each item found in the text."""
-        found: dict[int, int] = {}
-        if not text:
-            return found
+    def matches(self, texts: list[str | None]) -> list[tuple[int, int, int]]:
+        """(index of the text, item, longest shared run in words or characters), all texts at once."""
+        found: dict[tuple[int, int], int] = {}
         for cut, k, w, hashes, owners, places, tokens in self.levels:
-            if not len(hashes) or (cut is characters and not _HAS_CJK.search(text)):
+            if not len(hashes):
                 continue
-            own = cut(text)
-            if len(own) < k + w - 1:
+            own: list[list[str] | str] = []
+            index: list[int] = []
+            for i, text in enumerate(texts):
+                if text and (cut is words or _HAS_CJK.search(text)):
+                    parts = cut(text)
+                    if len(parts) >= k + w - 1:
+                        own.append(parts)
+                        index.append(i)
+            if not own:
                 continue
-            h, at = fingerprints(own, k, w)
-            low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            done: dict[tuple[int, int], int] = {}
-            for i in np.flatnonzero(high > low):
-                for j in range(low[i], high[i]):
-                    item, d, p = int(owners[j]), int(at[i]), int(places[j])
-                    if done.get((item, d - p), -1) >= d:
+            sizes = np.fromiter(map(len, own), np.int64, len(own))
+            ends = np.cumsum(sizes)
+            h = _gram_hashes(_numbers(own), k)
+            # Windows lie within one text: their first gram starts at most size - (k + w - 1) after its beginning.
+            windows = sizes - (k + w - 2)
+            starts = np.repeat(ends - sizes - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
+            at = _winnowed(h, starts, w)
+            at = at[np.isin(h[at], hashes)]
+            low, high = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
+            text_of = np.searchsorted(ends, at, "right")
+            done: dict[tuple[int, int, int], int] = {}
+            for pos, t, a, b in zip(at, text_of, low, high):
+                d = int(pos - (ends[t] - sizes[t]))
+                for j in range(a, b):
+                    item, p = int(owners[j]), int(places[j])
+                    if done.get((t, item, d - p), -1) >= d:
                         continue
-                    start, end = extend(own, tokens[item], d, p)
-                    done[(item, d - p)] = end
+                    start, end = extend(own[t], tokens[item], d, p)
+                    done[(t, item, d - p)] = end
                     if end - start >= k + w - 1:
-                        found[item] = max(found.get(item, 0), end - start)
-        return found
+                        key = (index[t], item)
+                        found[key] = max(found.get(key, 0), end - start)
+        return [(i, item, n) for (i, item), n in found.items()]
 
 
-def extend(doc: list[str], item: list[str], d: int, p: int) -> tuple[int, int]:
+def extend(doc: list[str] | str, item: list[str] | str, d: int, p: int) -> tuple[int, int]:
     """Start and end in the document of the run of equal tokens around a hit."""
     if doc[d] != item[p]:
         return d, d
@@ -148,10 +205,10 @@ def is_japanese(lang: str | None, text: str) -> bool:
 def leaks(documents: DataFrame, items: DataFrame, max_sent_chars: int = MAX_SENT_CHARS) -> DataFrame:
     """(item_id, doc_id, run): each document that shares a long enough run with an item.
 
-    ``items`` has item_id, lang and text, ``documents`` doc_id and text. Evaluation sets are small:
-    up to ``max_sent_chars`` characters (checked first) they are sent to every task and one narrow
-    pass over the documents finds, extends and checks all hits. Larger sets are cut into parts of
-    that size by a hash of the item id, and the parts are handled by a shuffle join of fingerprints.
+    ``items`` has item_id, lang and text, ``documents`` doc_id and text. Up to ``max_sent_chars``
+    characters (counted first) the items' fingerprints are broadcast, and one narrow pass over the
+    documents joins, extends and checks all hits. Larger sets of items are joined by a shuffle of
+    both sides' fingerprints (:func:`joined_leaks`). Both ways give the same rows.
     """
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
     if size <= max_sent_chars:
@@ -160,7 +217,8 @@ def leaks(documents: DataFrame, items: DataFrame, max_sent_chars: int = MAX_SENT
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(i, d, n) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, n in sent.value.matches(t).items()]
+                ids = batch.column(0).to_pylist()
+                rows = [(item, ids[i], n) for i, item, n in sent.value.matches(batch.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], names=["item_id", "doc_id", "run"])
 
         return spread(documents.select("doc_id", "text")).mapInArrow(run, "item_id bigint, doc_id bigint, run bigint")
@@ -168,7 +226,10 @@ def leaks(documents: DataFrame, items: DataFrame, max_sent_chars: int = MAX_SENT
 
 
 def joined_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """The same result by a shuffle join of both sides' fingerprints, then of the candidates' texts."""
+    """The same result by a shuffle join of both sides' fingerprints, then of the candidates' texts.
+
+    A fingerprint that many documents share is salted by the document, so that no task gets them all.
+    """
 
     def marks(rows: DataFrame, key: str, item: bool) -> DataFrame:
         def run(batches):
@@ -186,16 +247,16 @@ def joined_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     docs = marks(documents.select("doc_id", F.lit(None).cast("string").alias("lang"), "text"), "doc_id", False)
     own = marks(items.select("item_id", "lang", "text").distinct(), "item_id", True)
-    pairs = docs.join(own, ["level", "h"]).select("item_id", "doc_id").distinct()
+    docs = docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    own = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = docs.join(own, ["level", "h", "salt"]).select("item_id", "doc_id").distinct()
     texts = pairs.join(items.select("item_id", "lang", F.col("text").alias("item")), "item_id").join(documents.select("doc_id", "text").distinct(), "doc_id")
 
     def check(batches):
         for batch in batches:
             out = []
             for i, d, lang, item, text in zip(*(batch.column(c).to_pylist() for c in range(5))):
-                n = EvalSet([(i, lang, item)]).matches(text).get(i)
-                if n:
-                    out.append((i, d, n))
+                out += [(i, d, n) for _, _, n in EvalSet([(i, lang, item)]).matches([text])]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], names=["item_id", "doc_id", "run"])
 
     return texts.select("item_id", "doc_id", "lang", "item", "text").mapInArrow(check, "item_id bigint, doc_id bigint, run bigint")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.llm.models import HashedLogistic, sigmoid
-from talkloom.session import bounded_sample, spread
+from talkloom.session import bounded_sample, cut_lineage, spread
 
 #: Bound of the sample whose values are cut artificially: rows chosen by a hash of their keys.
 SAMPLE_TEXTS = 24000
@@ -35,8 +35,8 @@ SPIKE, NEIGHBOURS, LEAST = 5.0, 12, 4
 #: Probability from which a value counts as cut. Probabilities are cautious: the rare true cuts of
 #: an unlabelled sample pull them down.
 CUT = 0.3
-#: Limits kept for each source.
-LIMITS_PER_SOURCE = 8
+#: Up to this many field limits of all sources they are broadcast (under 50 MB), beyond, joined by shuffle.
+BROADCAST_LIMITS = 500_000
 
 # Marks that tools put after a cut.
 MARKS = ["…", "...", " ...", " [...]", " [truncated]", "… (truncated)", " <output clipped>", "…(以下略)", "…[省略]", " (cut, 12 KB total)", "（略）", " [output truncated]", " <truncated>"]
@@ -209,42 +209,45 @@ def length_limits(rows: DataFrame, source: str, text: str) -> DataFrame:
     near = Window.partitionBy("source", "unit").orderBy("size").rangeBetween(-NEIGHBOURS, NEIGHBOURS)
     around = (F.sum("n").over(near) - F.col("n")) / (2 * NEIGHBOURS)
     spikes = counts.withColumn("around", around).filter((F.col("n") >= LEAST) & (F.col("n") > SPIKE * (F.col("around") + 0.5)))
-    rank = F.row_number().over(Window.partitionBy("source", "unit").orderBy(F.desc("n"), "size"))
-    best = spikes.withColumn("rank", rank).filter(F.col("rank") <= LIMITS_PER_SOURCE)
     prior = F.least(F.lit(0.995), 1 - (F.col("around") + 0.5) / F.col("n"))
-    return best.select("source", "unit", F.col("size").cast("int").alias("size"), prior.alias("prior"))
+    return spikes.select("source", "unit", F.col("size").cast("int").alias("size"), prior.alias("prior"))
+
+
+def with_limit_prior(rows: DataFrame, source: str, text: str, limits: DataFrame) -> DataFrame:
+    """Adds ``limit_prior``: the highest prior of the source's limits that the text's length meets, or 0.
+
+    A limit in bytes may cut a wide character, or a repair of one may add some: texts with wide
+    characters meet it from three bytes less up to two more.
+    """
+    wide = limits.filter("unit = 'bytes'").select("source", F.lit("wide").alias("unit"), F.explode(F.sequence(F.col("size") - 3, F.col("size") + 2)).alias("size"), "prior")
+    near = cut_lineage(limits.unionByName(wide).groupBy("source", "unit", "size").agg(F.max("prior").alias("prior")))  # small, read three times
+    few = near.count() <= BROADCAST_LIMITS
+    rows = rows.withColumns({"__chars": F.length(text), "__bytes": F.octet_length(text)})
+    sizes = {"chars": F.col("__chars"), "bytes": F.col("__bytes"), "wide": F.when(F.col("__bytes") > F.col("__chars"), F.col("__bytes"))}
+    for unit, size in sizes.items():
+        own = near.filter(F.col("unit") == unit).select(F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("prior").alias(f"__{unit}_prior"))
+        own = F.broadcast(own) if few else own  # its number was counted
+        rows = rows.join(own, rows[source].eqNullSafe(F.col("__s")) & (size == F.col("__z")), "left").drop("__s", "__z")
+    best = F.greatest(F.lit(0.0), *[F.coalesce(f"__{unit}_prior", F.lit(0.0)) for unit in sizes])
+    return rows.withColumn("limit_prior", best).drop("__chars", "__bytes", *[f"__{unit}_prior" for unit in sizes])
 
 
 def find_cut(rows: DataFrame, keys: list[str], text: str = "text", source: str = "source_kind") -> DataFrame:
     """keys + (source, cut_probability): one row for each row with a non-blank text."""
     base = rows.select(*keys, F.col(source).alias("source"), F.col(text).alias("__text")).filter(F.col("__text").rlike(r"[\p{L}\p{N}]"))
-    limits: dict[str | None, list[tuple[str, int, float]]] = {}
-    for r in length_limits(base, "source", "__text").orderBy("source", "unit", "size").limit(20000).collect():
-        limits.setdefault(r.source, []).append((r.unit, r.size, r.prior))
-
-    def limit_prior(kind: str | None, value: str) -> float:
-        best, own = 0.0, limits.get(kind, ())
-        if own:
-            chars, size = len(value), len(value.encode("utf-8", "replace"))
-            wide = size > chars
-            for unit, most, prior in own:
-                if (unit == "chars" and chars == most) or (unit == "bytes" and (size == most or (wide and most - 3 <= size <= most + 2))):
-                    best = max(best, prior)
-        return best
-
+    base = with_limit_prior(base, "source", "__text", length_limits(base, "source", "__text"))
     known = vocabulary(base, "__text")
-    sample = sorted((r["__text"], r.source or "") for r in bounded_sample(base, keys, SAMPLE_TEXTS))
+    sample = sorted((r["__text"], r.limit_prior) for r in bounded_sample(base, keys, SAMPLE_TEXTS))
     order = np.random.default_rng(5).permutation(len(sample))
     sample = [sample[i] for i in order]
-    model = CutModel(known).fit([t for t, _ in sample], [limit_prior(s or None, t) > 0.5 for t, s in sample])
+    model = CutModel(known).fit([t for t, _ in sample], [p > 0.5 for _, p in sample])
     fields = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
     n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, texts = batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()
-            prior = np.array([max(model.prior, limit_prior(k, t)) for k, t in zip(kinds, texts)])
-            odds = model.score(texts) + np.log(prior / (1 - prior))
+            prior = np.maximum(model.prior, batch.column(n + 2).to_numpy(zero_copy_only=False))
+            odds = model.score(batch.column(n + 1).to_pylist()) + np.log(prior / (1 - prior))
             probability = sigmoid(odds)
             yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], pa.array(probability, pa.float64())], names=[*keys, "source", "cut_probability"])
 
