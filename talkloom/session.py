@@ -85,14 +85,17 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def bounded_sample(df: DataFrame, by: list[str], bound: int) -> list:
+def bounded_sample(df: DataFrame, by: list[str], bound: int, text: str | None = None, most_bytes: int | None = None) -> list:
     """About ``bound`` rows (all, where there are no more), chosen by a hash of ``by``.
 
-    The share is taken from an exact count, so that each task sends its share only, however many
-    tasks there are; rows of equal keys stay together, and every run chooses the same rows.
+    With ``text`` and ``most_bytes`` the sample also keeps to that many bytes of the column. The
+    share is taken from exact counts, so that each task sends its share only, however many tasks
+    there are; rows of equal keys stay together, and every run chooses the same rows.
     """
-    total = df.count()
-    if total > bound:
-        kept = F.col("__h").bitwiseAND(F.lit((1 << 63) - 1)) < F.lit(int(bound / total * (1 << 63)))
+    size = F.sum(F.octet_length(text)) if text else F.lit(0)
+    total, size = df.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    share = min(1.0, bound / max(1, total), (most_bytes or size or 1) / max(1, size))
+    if share < 1.0:
+        kept = F.col("__h").bitwiseAND(F.lit((1 << 63) - 1)) < F.lit(int(share * (1 << 63)))
         df = df.withColumn("__h", F.xxhash64(*by)).filter(kept).drop("__h")
     return df.collect()
