@@ -1,10 +1,14 @@
 """Problem 1: personal information in free text.
 
 Method: high-recall generators propose overlapping spans of five types; boosted trees score each
-span by format and context features; Platt-calibrated scores are cut at a threshold chosen on
-held-out candidates. Training labels come from labelling functions (strict formats, trigger
-contexts, counter-contexts) on a bounded sample of texts (``SAMPLE_TEXTS``); the name lexicon that
-feeds the features is mined from trigger contexts of the same sample. Every text is scored.
+span by format and context features; calibrated scores are cut at a threshold. The trees learn from
+positive and unlabelled spans: a span is positive where its surroundings name it (a key word, a
+trigger such as "reviewed by", the name of the number), or where the same text is named elsewhere;
+all others are unlabelled. The features that make a span positive are withheld from the trees, which
+must tell by format, by the lexicon and by the remaining context what the named spans have in common;
+the probability of being named, divided by its level among named spans, is that of being personal
+information. The name lexicon is counted over all texts; training texts are a bounded sample. Every
+text is scored.
 
 Results for special input: null and empty texts hold nothing; a text is read whole, whatever its
 length; repeated rows and equal texts get equal results; empty tables give empty results.
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkloom.llm.models import BoostedTrees, platt, sigmoid, threshold_for
+from talkloom.llm.models import BoostedTrees, platt, sigmoid
 from talkloom.session import bounded_sample, spread
 
 TYPES = ["email", "phone", "id_number", "address", "person_name"]
@@ -30,8 +34,10 @@ PLACEHOLDER = {"email": "<EMAIL>", "phone": "<PHONE>", "id_number": "<ID_NUMBER>
 
 #: Bound of the labelled sample: texts chosen by a hash of their keys.
 SAMPLE_TEXTS = 30000
-#: Precision that the threshold must reach on the held-out half of the sample.
-TARGET_PRECISION = 0.985
+#: Bytes of that sample at most.
+SAMPLE_BYTES = 48 << 20
+#: Share of all name words at triggers from which a word belongs to the lexicon (so at most 1 / share words).
+NAME_SHARE = 1e-5
 
 _WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | {0x3000: 0x20, 0xA0: 0x20, 0x2010: 0x2D, 0x2011: 0x2D, 0x2013: 0x2D, 0x2212: 0x2D, 0x30FC: 0x30FC}
 
@@ -54,7 +60,7 @@ ID = re.compile(
     r"|(?<![A-Za-z0-9_\-./])(?:\d{3}[ \-]\d{2}[ \-]\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]{1,2}\d{7,8}|\d{10}[A-Z]|\d{2} \d{3} \d{3} \d{3}|\d{4}[ \-]\d{4}[ \-]\d{4}|DL-\d{4}-\d{4}|\d{12})(?![A-Za-z0-9_\-])",
 )
 _STREET = r"Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Close|Crescent|Drive|Dr|Way|Court|Ct|Place|Pl|Square|Sq|Terrace|Boulevard|Blvd|Row|Walk|Gardens|Grove|Hill|Quay|Parade|Mews|Rise"
-_CAP = r"[A-ZÀ-Þ][\w'’\-]*"
+_CAP = r"[A-ZÀ-Þ][A-Za-z0-9À-ɏ'’\-]*"
 _TAIL = rf"(?:,? ?(?:Flat|Apt\.?|Unit|Suite) \d+[A-Za-z]?)?(?:,\s{{0,2}}(?:\d{{4,6}} )?{_CAP}(?: \d{{4,6}})?)?"
 ADDRESS = re.compile(
     rf"(?<![\w.\-/])(?:{_CAP}(?: {_CAP})? House, )?\d{{1,5}}[A-Za-z]?,? (?:{_CAP} ){{1,4}}(?:{_STREET})\b\.?{_TAIL}"
@@ -106,8 +112,17 @@ _PHONE_SHAPES, _ID_SHAPES = range(0, 8), range(8, 16)
 Candidate = tuple[int, int, int, str, re.Match]
 
 
-def candidates(text: str) -> list[Candidate]:
-    """(type number, start, end, narrowed text, match) of each proposed span; spans may overlap."""
+def at_trigger(t: str, start: int, end: int) -> bool:
+    """Whether the words around a span introduce a person."""
+    return bool(_BEFORE.search(t[max(0, start - 24) : start])) or bool(_AFTER.match(t[end : end + 24]))
+
+
+def candidates(text: str, lexicon: Lexicon | None = None) -> list[Candidate]:
+    """(type number, start, end, narrowed text, match) of each proposed span; spans may overlap.
+
+    With a lexicon, runs of kanji without a blank are proposed where both parts of a name are known
+    or a trigger introduces them.
+    """
     t = narrow(text)
     out: list[Candidate] = []
     if "@" in t or "at" in t or "AT" in t or "アット" in t:
@@ -121,7 +136,9 @@ def candidates(text: str) -> list[Candidate]:
     out += [(3, m.start(), m.end(), t, m) for m in ADDRESS.finditer(t)]
     out += [(4, m.start(), m.end("b"), t, m) for m in NAME.finditer(t)]
     if not t.isascii():
-        out += [(4, m.start(), m.end(), t, m) for m in NAME_JA.finditer(t)]
+        for m in NAME_JA.finditer(t):
+            if lexicon is None or not m["c"] or lexicon.pair(m)[0] > 0 or at_trigger(t, m.start(), m.end()):
+                out.append((4, m.start(), m.end(), t, m))
     return out
 
 
@@ -137,38 +154,42 @@ def _tokens(m: re.Match) -> list[tuple[str, str]]:
 class Lexicon:
     """How often a word stood in a name at a trigger context, against all of its name candidates."""
 
-    def __init__(self) -> None:
-        self.hits: Counter = Counter()
-        self.seen: Counter = Counter()
-
-    def learn(self, found: list[Candidate]) -> Lexicon:
-        for k, s, e, t, m in found:
-            if k != 4:
-                continue
-            strong = bool(_BEFORE.search(t[max(0, s - 24) : s])) or bool(_AFTER.match(t[e : e + 24]))
-            for a, b in _tokens(m):
-                for w in {a, b}:
+    def __init__(self, hits: dict[str, int] | None = None, seen: dict[str, int] | None = None) -> None:
+        self.hits: Counter = Counter(hits or {})
+        self.seen: Counter = Counter(seen or {})
+
+    def learn(self, texts: list[str | None]) -> Lexicon:
+        for text in texts:
+            for k, s, e, t, m in candidates(text) if text else ():
+                if k != 4 or m.groupdict().get("c"):  # runs without a blank could be split in several ways
+                    continue
+                strong = at_trigger(t, s, e)
+                for w in {m["a"].lower(), m["b"].lower()}:
                     self.seen[w] += 1
-                    self.hits[w] += strong and not m.groupdict().get("c")
+                    self.hits[w] += strong
         return self
 
-    def rate(self, word: str) -> float:
+    def rate(self, word: str, strong: bool = False) -> float:
+        """Smoothed rate; a word outside of the lexicon counts by its own context."""
+        if word not in self.hits:
+            return 1 / 3 if strong else 0.0
         return self.hits[word] / (self.seen[word] + 2.0)
 
-    def pair(self, m: re.Match) -> tuple[float, float]:
+    def pair(self, m: re.Match, strong: bool = False) -> tuple[float, float]:
         """Rates of the weaker and the stronger part in the best split."""
-        return max((min(self.rate(a), self.rate(b)), max(self.rate(a), self.rate(b))) for a, b in _tokens(m)) if _tokens(m) else (0.0, 0.0)
+        rates = [(self.rate(a, strong), self.rate(b, strong)) for a, b in _tokens(m)]
+        return max(((min(r), max(r)) for r in rates), default=(0.0, 0.0))
 
 
-def describe(c: Candidate, lexicon: Lexicon) -> list[float]:
-    """Format and context features of one span."""
+def describe(c: Candidate, lexicon: Lexicon, own: bool = False) -> list[float]:
+    """Format and context features of one span; ``own``: unknown words count by their own context."""
     k, s, e, t, m = c
     span, left, right = t[s:e], t[max(0, s - 40) : s], t[e : e + 40]
     line_left = left.rsplit("\n", 1)[-1]
     digits = sum(ch.isdigit() for ch in span)
     shape = next((i + 1 for i, p in enumerate(_SHAPES) if p.fullmatch(span)), 0) if k in (1, 2) else 0
     domain = re.split(r"@|[(\[{<]?\s?(?:AT|at|アット)\s?[)\]}>]?", span)[-1] if k == 0 else ""
-    weak, strong = lexicon.pair(m) if k == 4 else (0.0, 0.0)
+    weak, strong = lexicon.pair(m, own and at_trigger(t, s, e)) if k == 4 else (0.0, 0.0)
     sentence = re.split(r"(?<=[.!?。])\s|\n", left)[-1] + span + re.split(r"(?<=[.!?。])\s|\n", right)[0]
     return [
         k, e - s, digits, shape, len(re.findall(r"[A-Za-z]", span)), span.count(" "), span.count("-"), span.count("."),
@@ -182,84 +203,98 @@ def describe(c: Candidate, lexicon: Lexicon) -> list[float]:
     ]
 
 
-def label(c: Candidate, f: list[float]) -> int:
-    """Labelling functions: 1 personal information, 0 not."""
-    k, shape = c[0], int(f[3])
-    if f[12] or f[13] and k == 0:
-        return 0
-    if k == 0:
-        return int(not f[14] and not f[15])
-    if k == 1:
-        return int(shape - 1 in _PHONE_SHAPES and shape > 0 and not f[25] and not (f[11] and not f[9]) and not f[16])
-    if k == 2:
-        plain = shape > 0 and shape - 1 in _ID_SHAPES
-        if f[16]:
-            return int(f[2] >= 6)
-        if shape - 1 in (13, 11):  # bare 12 digits: only where the context names them
-            return int(bool(f[9]) and not f[11])
-        return int(plain and not f[11])
-    if k == 3:
-        return int(bool(f[23]) and not f[24])
-    if f[11] and f[19] < 0.2:
-        return 0
-    return int(f[19] >= 0.2 or (f[20] >= 0.3 and f[19] > 0.05 and (f[17] or f[18] or f[21])))
+#: Features that name a span (see :func:`named`), and the separators of tables, where nothing is named:
+#: the trees do not see them.
+NAMING = (9, 10, 16, 17, 18)
+WITHHELD = (*NAMING, 21, 22)
+
+
+def named(x: np.ndarray) -> np.ndarray:
+    """Whether the surroundings of each described span name it, outside of URLs."""
+    key, trigger, word = x[:, 9].astype(bool) | x[:, 10].astype(bool), x[:, 17].astype(bool) | x[:, 18].astype(bool), x[:, 16].astype(bool)
+    return (np.where(x[:, 0] == 4, trigger, key) | word) & (x[:, 12] == 0)
+
+
+def visible(x: np.ndarray) -> np.ndarray:
+    return np.delete(x, WITHHELD, axis=1)
 
 
 class Detector:
-    """Lexicon, and trees, calibration and threshold of each type."""
+    """Lexicon, and for each type the trees, the level of named spans and the threshold."""
 
-    def __init__(self) -> None:
-        self.lexicon = Lexicon()
+    def __init__(self, lexicon: Lexicon | None = None) -> None:
+        self.lexicon = lexicon
         self.trees = [BoostedTrees(rounds=40, depth=4) for _ in TYPES]
         self.scale = [(1.0, 0.0)] * len(TYPES)
+        self.level = np.ones(len(TYPES))
         self.cuts = np.full(len(TYPES), 0.5)
         self.report: dict[str, tuple[int, float, float]] = {}
 
     def fit(self, texts: list[str]) -> Detector:
-        """Trees of one half of the texts score the other: those scores calibrate and set the thresholds.
+        """Trees of one half of the texts score the other: those scores give levels and thresholds.
 
-        Then the trees are fitted on all of them.
+        Then the trees are fitted on all of them. Without a lexicon, one is learned from the texts.
         """
-        found = [(i, c) for i, text in enumerate(texts) for c in candidates(text)]
-        self.lexicon.learn([c for _, c in found])
-        # Context dropout: spans of fixed formats also without their context, so that the trees do not
-        # take the contexts of a sample for a condition.
-        alone = {(c[0], c[3][c[1] : c[2]]): i for i, c in found if c[0] < 4 and label(c, describe(c, self.lexicon))}
-        found += [(i, c) for (_, span), i in alone.items() for c in candidates(f"x {span} y")]
+        if self.lexicon is None:
+            self.lexicon = Lexicon().learn(texts)
+        found = [(i, c) for i, text in enumerate(texts) for c in candidates(text, self.lexicon)]
         if not found:
             return self
         x = np.array([describe(c, self.lexicon) for _, c in found])
-        y = np.array([label(c, list(row)) for (_, c), row in zip(found, x)], dtype=float)
+        y = named(x)
+        # The same number, address or mail named in one text is what it is in every text.
+        spans = [(c[0], c[3][c[1] : c[2]]) for _, c in found]
+        known = {s for s, positive in zip(spans, y) if positive and s[0] < 4}
+        y = np.array([positive or s in known for s, positive in zip(spans, y)], dtype=float)
+        y[x[:, 12] > 0] = 0.0
+        seen = visible(x)
         half = np.array([crc32(texts[i].encode("utf-8", "replace")) % 2 for i, _ in found])
         for k, name in enumerate(TYPES):
-            own, raw = x[:, 0] == k, np.zeros(len(x))
+            own = x[:, 0] == k
+            if not own.any():
+                continue
+            raw = np.zeros(len(x))
             sides = [own & (half == h) for h in (0, 1)]
-            if sides[0].any() and sides[1].any():
+            whole = BoostedTrees(rounds=40, depth=4).fit(seen[own], y[own])
+            if all((y[side] > 0).any() for side in sides):
                 for train, held in (sides, sides[::-1]):
-                    raw[held] = BoostedTrees(rounds=40, depth=4).fit(x[train], y[train]).score(x[held])
-                self.scale[k] = platt(raw[own], y[own])
-                p, real = sigmoid(self.scale[k][0] * raw[own] + self.scale[k][1]), y[own] > 0
-                self.cuts[k] = min(max(threshold_for(p, y[own], TARGET_PRECISION), 0.4), 0.8)
-                said = p >= self.cuts[k]
-                self.report[name] = (int(own.sum()), float((said & real).sum() / max(1, said.sum())), float((said & real).sum() / max(1, real.sum())))
-            self.trees[k] = BoostedTrees(rounds=40, depth=4).fit(x[own], y[own])
+                    raw[held] = BoostedTrees(rounds=40, depth=4).fit(seen[train], y[train]).score(seen[held])
+            else:
+                raw[own] = whole.score(seen[own])
+            self.scale[k] = platt(raw[own], y[own])
+            p, real = sigmoid(self.scale[k][0] * raw[own] + self.scale[k][1]), y[own] > 0
+            self.level[k] = float(np.median(p[real])) if real.any() else 1.0
+            p = np.minimum(1.0, p / self.level[k])
+            self.cuts[k] = self._cut(p)
+            said = p >= self.cuts[k]
+            self.report[name] = (int(own.sum()), float(p[said].mean()) if said.any() else 1.0, float((said & real).sum() / max(1, real.sum())))
+            self.trees[k] = whole
         return self
 
+    @staticmethod
+    def _cut(p: np.ndarray) -> float:
+        """A threshold in the lower part of the widest gap between the probabilities from 0.1 to 0.6."""
+        inner = np.concatenate([[0.1], np.sort(p[(p > 0.1) & (p < 0.6)]), [0.6]])
+        gap = int(np.diff(inner).argmax())
+        return float(inner[gap] + 0.25 * (inner[gap + 1] - inner[gap]))
+
     def probability(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x))
-        for k, (a, b) in enumerate(self.scale):
+        out, seen = np.zeros(len(x)), visible(x)
+        for k, level in enumerate(self.level):
             own = x[:, 0] == k
             if own.any():
-                out[own] = sigmoid(a * self.trees[k].score(x[own]) + b)
+                a, b = self.scale[k]
+                out[own] = np.minimum(1.0, sigmoid(a * self.trees[k].score(seen[own]) + b) / level)
         return out
 
     def spans(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         """The selected spans (start, end, type) of each text, without overlaps, in order."""
-        found = [(i, c) for i, text in enumerate(texts) if text for c in candidates(text)]
+        lexicon = self.lexicon or Lexicon()
+        found = [(i, c) for i, text in enumerate(texts) if text for c in candidates(text, lexicon)]
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         if not found:
             return out
-        x = np.array([describe(c, self.lexicon) for _, c in found])
+        x = np.array([describe(c, lexicon, own=True) for _, c in found])
         p = self.probability(x)
         keep: dict[int, list[tuple[float, int, int, int]]] = {}
         for (i, c), q in zip(found, p):
@@ -297,18 +332,23 @@ PREFILTER = "|".join([
     rf"P\.?[{_SPACE}]?O\.?[{_SPACE}]?Box[{_SPACE}]{_DIGIT}|〒[{_SPACE}]?{_DIGIT}{{3}}|[都道府県][一-鿿ヶぁ-んァ-ン]{{1,8}}[市区町村郡][一-鿿ヶぁ-んァ-ン]{{0,12}}{_DIGIT}",
     rf"{_DIGIT} (?:street|lane|road|avenue) of the|(?:Street|Lane|Road|Square|Pier|Quay) (?:of|{_DIGIT}|[A-ZÀ-Þ])",
     NAME.pattern.replace("?P<", "?<"),
-    rf"(?<![{_KANJI}])[{_KANJI}]{{1,3}} (?:[{_KANJI}]{{1,3}}|[ぁ-ん]{{2,4}}|[ァ-ン]{{2,4}})|[{_KANJI}]{{2}}(?:さん|様|氏|殿)",
+    rf"(?<![{_KANJI}])[{_KANJI}]{{1,3}} (?:[{_KANJI}]{{1,3}}|[ぁ-ん]{{2,4}}|[ァ-ン]{{2,4}})|[{_KANJI}]{{2}}(?:さん|様|氏|殿|です。)",
+    _BEFORE.pattern.removesuffix(r"\s*$") + rf"[{_SPACE}]*[{_KANJI}]{{2}}",
 ])
-#: Bound of the mined lexicon's part in the prefilter.
-LEXICON_WORDS = 2000
+#: Runs of kanji that may be names without a blank; used where the lexicon is too long for a pattern.
+ANY_KANJI = rf"[{_KANJI}]{{2}}(?:さん|様|氏|殿|です|は|が|[。、.,:|\t\n]|\z)"
+#: What a text needs to teach the lexicon something.
+NAMES = NAME.pattern.replace("?P<", "?<") + rf"|(?<![{_KANJI}])[{_KANJI}]{{1,3}} (?:[{_KANJI}]{{1,3}}|[ぁ-ん]{{2,4}}|[ァ-ン]{{2,4}})"
+#: Words up to which the lexicon is a part of the prefilter.
+PATTERN_WORDS = 2000
 
 
 def prefilter(lexicon: Lexicon | None = None) -> str:
+    """A pattern that every text with a candidate passes: a long lexicon only makes it less narrow."""
     if lexicon is None:
         return PREFILTER
-    words = [w for w in lexicon.hits if not w.isascii() and lexicon.rate(w) >= 0.05 and all(c.isalpha() for c in w)]
-    words = sorted(words, key=lambda w: (-lexicon.hits[w], w))[:LEXICON_WORDS]
-    return PREFILTER + "".join("|" + w for w in sorted(words))
+    words = sorted(w for w in lexicon.hits if lexicon.hits[w] > 0 and not w.isascii() and all(c.isalpha() for c in w))
+    return PREFILTER + "|" + (ANY_KANJI if len(words) > PATTERN_WORDS else "|".join(words)) if words else PREFILTER
 
 
 def narrowed(column: str) -> Column:
@@ -317,10 +357,39 @@ def narrowed(column: str) -> Column:
     return F.when(F.col(column).rlike(r"[！-～\u3000\xa0\u2010\u2011\u2013\u2212]"), F.translate(column, wide, "".join(map(chr, _WIDE.values())))).otherwise(F.col(column))
 
 
+def count_names(texts: DataFrame, column: str = "text") -> Lexicon:
+    """The lexicon of all texts: partial counts of each batch, summed up.
+
+    Words that never stood at a trigger have rate 0 and are left out, and so are those of less than
+    ``NAME_SHARE`` of all such words: they count by their own context.
+    """
+    own = texts.select(F.col(column).alias("t")).filter(F.coalesce(narrowed("t").rlike(NAMES), F.lit(False)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon()
+        for batch in batches:
+            lexicon.learn(batch.column(0).to_pylist())
+            if len(lexicon.seen) > 200_000:
+                yield lexicon_rows(lexicon)
+                lexicon = Lexicon()
+        yield lexicon_rows(lexicon)
+
+    counts = spread(own).mapInArrow(run, "word string, hits bigint, seen bigint").groupBy("word").agg(F.sum("hits").alias("hits"), F.sum("seen").alias("seen")).filter("hits > 0")
+    total = counts.agg(F.sum("hits").alias("total"))
+    kept = counts.crossJoin(F.broadcast(total)).filter(F.col("hits") >= F.col("total") * NAME_SHARE).collect()  # one row against all
+    return Lexicon({r.word: r.hits for r in kept}, {r.word: r.seen for r in kept})
+
+
+def lexicon_rows(lexicon: Lexicon) -> pa.RecordBatch:
+    words = list(lexicon.seen)
+    return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([lexicon.hits[w] for w in words], pa.int64()), pa.array([lexicon.seen[w] for w in words], pa.int64())], names=["word", "hits", "seen"])
+
+
 def fit_detector(texts: DataFrame, keys: list[str], column: str = "text") -> Detector:
-    """Fits on about ``SAMPLE_TEXTS`` texts; those without any candidate teach nothing."""
-    rows = bounded_sample(texts.filter(F.length(column) > 0).select(*keys, F.col(column).alias("__t")), keys, SAMPLE_TEXTS)
-    return Detector().fit([t for t in sorted({r["__t"] for r in rows}) if candidates(t)])
+    """Lexicon over all texts, trees on about ``SAMPLE_TEXTS``; those without any candidate teach nothing."""
+    rows = bounded_sample(texts.filter(F.length(column) > 0).select(*keys, F.col(column).alias("__t")), keys, SAMPLE_TEXTS, "__t", SAMPLE_BYTES)
+    lexicon = count_names(texts, column)
+    return Detector(lexicon).fit([t for t in sorted({r["__t"] for r in rows}) if candidates(t, lexicon)])
 
 
 def find(rows: DataFrame, keys: list[str], text: str = "text", detector: Detector | None = None) -> DataFrame:
