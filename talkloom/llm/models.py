@@ -126,6 +126,10 @@ class HashedLogistic:
         owner = np.repeat(np.arange(len(rows)), np.diff(starts))
         return np.bincount(owner, self.w[flat], len(rows)) + self.w[-1]
 
+    def score_sparse(self, feature: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """Scores of ``n`` rows given as (feature, row) pairs."""
+        return np.bincount(owner, self.w[feature], n) + self.w[-1]
+
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))

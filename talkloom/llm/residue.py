@@ -2,8 +2,10 @@
 
 Method: a regularised linear classifier on hashed n-grams, length and title features. Weak labels
 come from response status and phrases (pages, walls, notices, filler) and from placeholder marks
-outside code; it is validated on hosts that it never saw. Units are a document as a whole and each
-of its prose paragraphs, since a placeholder may stand in one paragraph of a long text.
+outside code. Labelled residue is learned a second time without the phrases that label it, so that
+the model does not only repeat them; it is validated on hosts that it never saw. Units are a document
+as a whole and each of its prose paragraphs, since a placeholder may stand in one paragraph of a long
+text. There is no field with a response status: states are read from the text.
 
 Results for special input: null and empty texts are no residue; short genuine remarks stay; a text
 is read whole; equal rows get equal results; a null title is an empty one; empty tables give empty
@@ -14,7 +16,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -34,7 +35,10 @@ PAGE_SHARE = 0.66
 WORD_SHARE = 1e-4
 #: A prose text of at least so many words is filler when at most this share of them is known.
 FILLER_WORDS, FILLER_KNOWN = 8, 0.25
-_MASK = (1 << 18) - 1
+#: Characters that residue without its phrases must still have to be learned as such.
+LEAST_REST = 12
+_BITS = 18
+_MASK = (1 << _BITS) - 1
 
 # Response states and the phrases of pages, walls, notices and filler.
 _STATES = r"Bad Request|Unauthori[sz]ed|Forbidden|Not Found|Method Not Allowed|Request Time-?out|Gone|Too Many Requests|Internal Server Error|Not Implemented|Bad Gateway|Service Unavailable|Gateway Time-?out"
@@ -59,6 +63,8 @@ _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.DOTALL)
 _INLINE = re.compile(r"`[^`\n]*`")
 _TRACE = re.compile(r"^(?:Trace|Request id|ref)\b.*$|\b(?:Ray|Reference) #?[0-9a-f.]+\s*$|^(?:proxy|nginx|server)/[\d.]+$|^Home \| .*$|</?(?:html|body|head)[^>]*>|^#+\s*$", re.MULTILINE | re.IGNORECASE)
 HOST = re.compile(r"\b([a-z0-9\-]+\.(?:example|test|invalid|com|org|net|io)(?:\.[a-z]+)?)\b", re.IGNORECASE)
+_HEX = re.compile(r"\b[0-9a-f]{8,}\b")
+_DOTTED = re.compile(r"\.(?:example|test|invalid|com|org|net|io)\b", re.IGNORECASE)
 _MARKS = re.compile(r"[{}<>$%@#\[\]○〇（【〔［｛]|__|\b(?:TODO|FIXME|XXX)_|X{3}")
 _GRAM = re.compile("\ue000|"
     r"[A-Za-z]+|\d|[^\W\d_A-Za-z]|[^\w\s]")
@@ -80,56 +86,85 @@ def units(text: str) -> list[tuple[str, float]]:
     return [(body.strip(), 1.0)] + ([(p, len(p) / whole) for p in parts if _MARKS.search(p)] if len(parts) > 1 else [])
 
 
-def known_share(unit: str, known: frozenset[str]) -> float:
-    """Share of known words among the unit's Latin words; 1 where they are few or not most of it."""
-    core = _TRACE.sub("", unit)
+def known_share(core: str, known: frozenset[str]) -> float:
+    """Share of known words among a text's Latin words; 1 where they are few or not most of it."""
     words = re.findall(r"[A-Za-z]{3,}", core)
-    if not known or len(words) < FILLER_WORDS or sum(map(len, words)) < 0.6 * len(re.sub(r"\s", "", core)):
+    if not known or len(words) < FILLER_WORDS or sum(map(len, words)) < 0.6 * len("".join(core.split())):
         return 1.0
     return sum(w.lower() in known for w in words) / len(words)
 
 
 def weak_label(unit: str, share: float, known: frozenset[str] = frozenset()) -> int:
     """1 residue, 0 not: placeholder marks in prose, page and filler phrases over most of a text, or no words."""
-    if PLACEHOLDER.search(unit):
+    if _MARKS.search(unit) and PLACEHOLDER.search(unit):
         return 1
     if share < PAGE_SHARE:
         return 0
     core = _TRACE.sub("", unit).strip()
     if not core:
         return 0
-    if known_share(unit, known) <= FILLER_KNOWN:
+    if known_share(core, known) <= FILLER_KNOWN:
         return 1
     covered = sum(len(line) for line in re.split(r"\n|(?<=[.。])\s*", core) if line and (PAGE.search(line) or FILLER.search(line)))
-    return int(covered >= PAGE_SHARE * len(core) and len(core) < 600)
-
-
-@lru_cache(maxsize=1 << 16)
-def _code(token: str) -> int:
-    return crc32(token.encode("utf-8", "replace"))
-
-
-def features(unit: str, share: float, title: str | None, known: frozenset[str] = frozenset()) -> np.ndarray:
-    """Hashed n-grams, length and title features of one unit."""
-    text = PLACEHOLDER.sub(" \ue000 ", unit)
-    text = HOST.sub(" host ", re.sub(r"\b[0-9a-f]{8,}\b", " hex ", text))
-    tokens = ["9" if t.isdigit() else t.lower() for t in _GRAM.findall(text)]
-    marked = "\ue000" in text
-    size = min(len(unit), 4000).bit_length()
-    part = "w" if share >= PAGE_SHARE else "p"
-    one = np.fromiter(map(_code, tokens), np.int64, len(tokens))
+    return int(covered >= PAGE_SHARE * len(core))
+
+
+class _Codes(dict):
+    """Hashes of tokens without regard to case and of digits; emptied when it grows too large."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 1 << 20:
+            self.clear()
+        self[token] = crc32(("9" if token.isdigit() else token.lower()).encode("utf-8", "replace"))
+        return self[token]
+
+
+_CODES = _Codes()
+
+
+def feature_rows(units_: list[tuple[str, float, str | None]], known: frozenset[str] = frozenset()) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, owner) of hashed n-grams, length and title features of all units at once."""
+    codes: list[int] = []
+    sizes, short, parts = (np.zeros(len(units_), np.int64) for _ in range(3))
+    own: list[int] = []
+    owners: list[int] = []
+    for i, (unit, share, title) in enumerate(units_):
+        text = PLACEHOLDER.sub(" \ue000 ", unit) if _MARKS.search(unit) else unit
+        text = _HEX.sub(" hex ", text)
+        if _DOTTED.search(text):
+            text = HOST.sub(" host ", text)
+        tokens = _GRAM.findall(text)
+        codes += map(_CODES.__getitem__, tokens)
+        sizes[i] = len(tokens)
+        marked = "\ue000" in text
+        size = min(len(unit), 4000).bit_length()
+        part = "w" if share >= PAGE_SHARE else "p"
+        short[i], parts[i] = size <= 9, part == "w"
+        distinct = len(set(tokens)) / max(1, len(tokens))
+        rate = known_share(_TRACE.sub("", unit), known)
+        names = [f"len:{size}:{part}", f"div:{int(distinct * 5)}:{size}", f"ph:{marked}", f"ph2:{marked}:{size}", f"kn:{int(rate * 8)}", f"kn2:{int(rate * 4)}:{size}:{part}"]
+        names += ["nowords", f"nowords:{size}", f"nowords:{part}", f"nowords:{int(distinct * 5)}", f"nowords:{bool(title)}"] * (rate <= FILLER_KNOWN) + [f"t:{w}" for w in re.findall(r"\w+", (title or "none").lower())[:6]]
+        own += [_CODES[f"\x00{n}"] & _MASK for n in names]
+        owners += [i] * len(names)
+    one = np.array(codes, np.int64)
+    unit_of = np.repeat(np.arange(len(units_)), sizes)
     two = one[:-1] * 1000003 ^ one[1:]
     three = two[:-1] * 1000003 ^ one[2:]
-    grams = np.concatenate([one, two, three] if len(unit) < 1200 else [one, two])
-    grams = np.unique((grams ^ (grams >> 17)) & _MASK)
-    distinct = len(set(tokens)) / max(1, len(tokens))
-    own = [f"len:{size}:{part}", f"div:{int(distinct * 5)}:{size}", f"ph:{marked}", f"ph2:{marked}:{size}"]
-    rate = known_share(unit, known)
-    own += [f"kn:{int(rate * 8)}", f"kn2:{int(rate * 4)}:{size}:{part}"] + ["nowords:" + str(k) for k in range(6)] * (rate <= FILLER_KNOWN)
-    own += [f"t:{w}" for w in re.findall(r"\w+", (title or "none").lower())[:6]]
-    rest = np.array([crc32(f.encode("utf-8", "replace")) & _MASK for f in own], np.int64)
-    short = (grams * 31 + 7919 * (1 + (part == "w"))) & _MASK if size <= 9 else grams[:0]
-    return np.concatenate([grams, short, rest])
+    keys = []
+    for n, grams in ((1, one), (2, two), (3, three)):
+        whole = unit_of[: len(grams)] == unit_of[n - 1 :]
+        grams = grams[whole]
+        keys.append(unit_of[: len(whole)][whole] << _BITS | (grams ^ (grams >> 17)) & _MASK)
+    grams = np.sort(np.concatenate(keys))
+    grams = grams[np.append(True, grams[1:] != grams[:-1])] if len(grams) else grams
+    owner, feature = grams >> _BITS, grams & _MASK
+    # Short texts and whole ones have weights of their own, too.
+    mine = short[owner] > 0
+    again = (feature[mine] * 31 + 7919 * (1 + parts[owner[mine]])) & _MASK
+    features = np.concatenate([feature, again, np.array(own, np.int64)])
+    owner = np.concatenate([owner, owner[mine], np.array(owners, np.int64)])
+    order = np.argsort(owner, kind="stable")
+    return features[order], owner[order]
 
 
 class ResidueModel:
@@ -146,11 +181,19 @@ class ResidueModel:
             host = HOST.search(text)
             group = crc32((host[1].lower() if host else text[:40]).encode("utf-8", "replace")) % 5
             for unit, share in units(text):
-                rows.append(features(unit, share, title, self.known))
+                rows.append((unit, share, title))
                 y.append(weak_label(unit, share, self.known))
                 groups.append(group)
+                # Residue also without the phrases of its label, so that the rest is learned as well.
+                rest = FILLER.sub(" ", PAGE.sub(" ", unit)).strip() if y[-1] else unit
+                if rest != unit and len(rest) >= LEAST_REST:
+                    rows.append((rest, share, title))
+                    y.append(1)
+                    groups.append(group)
         if not rows:
             return self
+        feature, owner = feature_rows(rows, self.known)
+        rows = np.split(feature, np.searchsorted(owner, np.arange(1, len(rows))))
         labels, group = np.array(y, dtype=float), np.array(groups)
         seen, unseen = np.flatnonzero(group != 0), np.flatnonzero(group == 0)
         if len(seen) and len(unseen):
@@ -158,7 +201,7 @@ class ResidueModel:
             score = self.model.score([rows[i] for i in unseen])
             self.scale = platt(score, labels[unseen])
             p = sigmoid(self.scale[0] * score + self.scale[1])
-            self.cut = min(max(threshold_for(p, labels[unseen], 0.98), 0.2), 0.7)
+            self.cut = min(max(threshold_for(p, labels[unseen], 0.98), 0.57), 0.7)
             said, real = p >= self.cut, labels[unseen] > 0
             self.model.fit(rows, labels)
             self.unseen = (len(unseen), float((said & real).sum() / max(1, said.sum())), float((said & real).sum() / max(1, real.sum())))
@@ -168,14 +211,15 @@ class ResidueModel:
 
     def probability(self, documents: list[tuple[str | None, str | None]]) -> np.ndarray:
         """The highest probability among the units of each document."""
-        rows, owner = [], []
+        rows, of = [], []
         for i, (text, title) in enumerate(documents):
             for unit, share in units(text) if text and text.strip() else ():
-                rows.append(features(unit, share, title, self.known))
-                owner.append(i)
+                rows.append((unit, share, title))
+                of.append(i)
         out = np.zeros(len(documents))
         if rows:
-            np.maximum.at(out, np.array(owner), sigmoid(self.scale[0] * self.model.score(rows) + self.scale[1]))
+            score = self.model.score_sparse(*feature_rows(rows, self.known), len(rows))
+            np.maximum.at(out, np.array(of), sigmoid(self.scale[0] * score + self.scale[1]))
         return out
 
 

@@ -34,3 +34,12 @@ def test_score(spark):
     pages = set(range(len(GOOD), len(GOOD) + len(PAGES)))
     assert len(said & pages) >= 0.97 * len(pages) and len(said - pages) <= 2
     assert R.score(df.limit(0)).count() == 0
+
+
+def test_the_model_goes_beyond_its_labels(model):
+    """Pages whose phrases the label list does not know: the rule finds none of them, the model most."""
+    new = [f"h{i}.example is {what}, come back at {i}:00." for i in range(60, 64) for what in ("down for some hours", "closed for planned work")] + [f"Sign-in for h{i}.example\nEmail\nPassword\nForgotten it?" for i in range(60, 64)]
+    rule = sum(R.weak_label(u, s) for t in new[:8] for u, s in R.units(t))
+    p = model.probability([(t, None) for t in new])
+    assert rule == 0 and (p[:8] >= model.cut).mean() > 0.5
+    assert all(model.probability([(t, None)])[0] < model.cut for t in GOOD[50:60] + TALK[:5] + CODE[:5])
