@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.functions import text as T
+from talkloom.operators import timestamps
 from talkloom.operators.order import running
 
 COLUMNS = ["event_id", "session_key", "source_kind", "seq", "ts", "actor", "kind", "text", "hints", "native_id", "locator", "raw_id", "ingested_at"]
@@ -25,6 +28,32 @@ def canonical(rows: DataFrame) -> DataFrame:
     return events.withColumn("actor", F.lower(F.trim("actor"))).withColumn("file_path", F.get_json_object("hints", "$.file_path"))
 
 
+def with_instant(rows: DataFrame, zones: DataFrame, stamp: str = "ts", out: str = "instant") -> DataFrame:
+    """Adds the UTC instant (microseconds since 1970) that a stamp of any spelling denotes, or null.
+
+    Stamps are never compared as text: their spellings and zones differ.
+    """
+    return timestamps.normalise(rows, zones, stamp, out=out).drop(f"{out}_form")
+
+
+def iso(micros: Column | str) -> Column:
+    """An instant in microseconds as UTC text of one form."""
+    return F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def iso_text(instant: int) -> str:
+    """An instant in microseconds as ISO text, on the driver."""
+    return (datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=instant)).isoformat()
+
+
+def micros(cutoff: str) -> int:
+    """An ISO cutoff with zone in microseconds since 1970."""
+    when = datetime.fromisoformat(cutoff)
+    if when.tzinfo is None:
+        raise ValueError(f"cutoff without zone: {cutoff}")
+    return (when - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
+
+
 def recomputed_ids(events: DataFrame) -> DataFrame:
     fp = T.text_fingerprint("text")
     cols = [F.col(c) for c in ("source_kind", "session_key", "native_id", "locator", "kind")]
@@ -42,9 +71,14 @@ def session_order() -> list[Column]:
 
 
 def positions(events: DataFrame) -> DataFrame:
-    """The events with their position (from 1) and the size of their session."""
+    """The events with their position (from 1) and the size of their session.
+
+    Only ids and order are sorted and checkpointed; the positions are then joined to the rows.
+    """
     order = [F.coalesce("seq", F.lit(-(1 << 62))), F.coalesce("ts", F.lit("")), F.col("event_id")]
-    return running(events, ["session_key"], order, {}, position="pos", size="session_size")
+    keys = events.select("event_id", "session_key", "seq", "ts")
+    placed = running(keys, ["session_key"], order, {}, position="pos", size="session_size")
+    return events.join(placed.select("event_id", "pos", "session_size"), "event_id")
 
 
 def tail(events: DataFrame, n: int) -> DataFrame:
@@ -82,7 +116,10 @@ def first_line_title(text: Column) -> Column:
 
 
 def session_rollup(events: DataFrame) -> DataFrame:
-    """Number of events, first and last stamp, and title: a title hint, else the first user text."""
+    """Number of events, first and last instant (see :func:`with_instant`), and title: a title hint, else the first user text.
+
+    ``instant`` is the last one in microseconds, by which sessions are ordered.
+    """
     arrival = F.struct("ingested_at", "event_id")
     hint = F.get_json_object("hints", "$.title")
     user = (F.col("actor") == "user") & F.coalesce(T.strip_noise("text"), F.lit("")).rlike(r"(?U)\S")
@@ -91,13 +128,18 @@ def session_rollup(events: DataFrame) -> DataFrame:
         F.min_by(first_line_title(T.strip_noise("text")), F.when(user, arrival)),
     )
     return events.groupBy("session_key").agg(
-        F.min("source_kind").alias("source_kind"), F.count("*").alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), title.alias("title")
+        F.min("source_kind").alias("source_kind"), F.count("*").alias("n_events"), iso(F.min("instant")).alias("first_ts"), iso(F.max("instant")).alias("last_ts"), title.alias("title"), F.max("instant").alias("instant")
     )
 
 
 def list_sessions(sessions: DataFrame, limit: int = 30, source: str | None = None) -> DataFrame:
-    """Newest activity first; sessions without stamp last."""
-    return sessions.filter(source_filter(source)).orderBy(F.col("last_ts").desc_nulls_last(), "session_key").limit(limit)
+    """Newest activity first, by the instant of ``last_ts`` (column ``instant``); sessions without one last."""
+    return sessions.filter(source_filter(source)).orderBy(F.col("instant").desc_nulls_last(), "session_key").limit(limit)
+
+
+def latest_session(sessions: DataFrame, source: str | None = None) -> DataFrame:
+    """(session_key) of the most recently active session of a source, by instant."""
+    return list_sessions(sessions.filter("instant is not null"), 1, source).select("session_key")
 
 
 def stats(events: DataFrame, sessions: DataFrame, raw: DataFrame, blob_texts: DataFrame, quarantine: DataFrame) -> DataFrame:
@@ -134,17 +176,37 @@ def evidence(blob_refs: DataFrame, blob_texts: DataFrame, terms: list[str]) -> D
 
 
 def tool_pairs(events: DataFrame) -> DataFrame:
-    """Tool results with the tool call right before them in the session, by position."""
-    placed = positions(events)
-    calls = placed.filter("kind = 'tool_use'").select("session_key", (F.col("pos") + 1).alias("pos"), F.col("event_id").alias("call_id"), F.regexp_extract("text", r"^\[tool_use (\w+)\]", 1).alias("tool_name"))
-    return placed.filter("kind = 'tool_result'").join(calls, ["session_key", "pos"]).select("session_key", "event_id", "call_id", "tool_name")
+    """Tool results with their tool call: the one with the same tool id, else the latest call before.
+
+    The n-th call and the result that follows n calls pair by a running count of calls, so that
+    several calls or other events in between do no harm. Tool ids are hints of the events
+    (``tool_use_id``), which the test tables lack.
+    """
+    called = (F.col("kind") == "tool_use").cast("int")
+    rows = events.select("event_id", "session_key", "seq", "ts", "kind", F.get_json_object("hints", "$.tool_use_id").alias("tool_id"), F.regexp_extract("text", r"^\[tool_use (\w+)\]", 1).alias("tool_name"))
+    order = [F.coalesce("seq", F.lit(-(1 << 62))), F.coalesce("ts", F.lit("")), F.col("event_id")]
+    counted = running(rows.filter("kind in ('tool_use', 'tool_result')"), ["session_key"], order, {"call_no": called})
+    calls = counted.filter("kind = 'tool_use'").select("session_key", "call_no", F.col("event_id").alias("call_id"), "tool_name")
+    results = counted.filter("kind = 'tool_result'").select("session_key", "event_id", "call_no", "tool_id")
+    by_id = counted.filter("kind = 'tool_use' and tool_id is not null").groupBy("session_key", "tool_id").agg(F.min(F.struct("call_no", F.col("event_id").alias("id"), F.col("tool_name").alias("name"))).alias("own"))
+    paired = results.join(calls, ["session_key", "call_no"], "left").join(by_id, ["session_key", "tool_id"], "left")
+    out = paired.select("session_key", "event_id", F.coalesce("own.id", "call_id").alias("call_id"), F.coalesce("own.name", "tool_name").alias("tool_name"))
+    return out.filter("call_id is not null")
+
+
+def kept_by_prune(events: DataFrame, cutoff: str) -> Column:
+    """Events at or after the cutoff, and those whose stamp denotes no instant."""
+    return F.col("instant").isNull() | (F.col("instant") >= micros(cutoff))
 
 
 def prune_report(events: DataFrame, raw: DataFrame, quarantine: DataFrame, cutoff: str) -> DataFrame:
-    """What pruning would delete: old events (those without stamp stay), unneeded raw rows, old rejects."""
-    kept = events.filter(F.col("ts").isNull() | (F.col("ts") >= cutoff)).select(F.col("raw_id").alias("id")).filter("id is not null")
-    old_raw = raw.filter(F.col("ingested_at") < F.to_timestamp(F.lit(cutoff))).join(kept, "id", "left_anti")
-    parts = [("events", events.filter(F.col("ts") < cutoff)), ("raw_records", old_raw), ("quarantine", quarantine.filter(F.col("ts") < cutoff))]
+    """What pruning would delete: old events (those without instant stay), unneeded raw rows, old rejects.
+
+    ``events`` and ``quarantine`` have an ``instant`` (see :func:`with_instant`).
+    """
+    kept = events.filter(kept_by_prune(events, cutoff)).select(F.col("raw_id").alias("id")).filter("id is not null")
+    old_raw = raw.filter(F.unix_micros("ingested_at") < micros(cutoff)).join(kept, "id", "left_anti")
+    parts = [("events", events.filter(~kept_by_prune(events, cutoff))), ("raw_records", old_raw), ("quarantine", quarantine.filter(F.col("instant") < micros(cutoff)))]
     out = None
     for name, df in parts:
         row = df.agg(F.count("*").alias("n_deleted")).select(F.lit(name).alias("tbl"), "n_deleted")
@@ -154,9 +216,9 @@ def prune_report(events: DataFrame, raw: DataFrame, quarantine: DataFrame, cutof
 
 def prune_survivors(events: DataFrame, cutoff: str) -> DataFrame:
     """Events that pruning keeps."""
-    return events.filter(F.col("ts").isNull() | (F.col("ts") >= cutoff))
+    return events.filter(kept_by_prune(events, cutoff))
 
 
 def reaggregate(events: DataFrame) -> DataFrame:
     """Sessions counted again; those without events are gone."""
-    return events.groupBy("session_key").agg(F.count("*").alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return events.groupBy("session_key").agg(F.count("*").alias("n_events"), iso(F.min("instant")).alias("first_ts"), iso(F.max("instant")).alias("last_ts"))

@@ -10,6 +10,8 @@ from talkloom.functions import text as T
 from talkloom.operators import salience
 from talkloom.operators.events import positions
 from talkloom.operators.order import running
+from talkloom.operators.skew import salted_join
+from talkloom.session import cut_lineage
 
 RECENCY, RELEVANCE, DIVERSITY = 0.55, 0.45, 0.35
 CANDIDATES, ITEM_CHARS, ITEM_OVERHEAD = 800, 1400, 4
@@ -31,17 +33,28 @@ def thread(deduped: DataFrame) -> DataFrame:
     return deduped.filter("actor in ('user', 'assistant') and not deduped").withColumn("clean", clean).filter(F.col("clean").rlike(r"(?U)\S"))
 
 
+def _counted(rows: DataFrame, group: str) -> DataFrame:
+    """(group, event_id, len, token, c): token counts of each row's sorted tokens ``t``, without a shuffle.
+
+    Equal tokens stand together: a run starts where the token before differs, and its length is the
+    distance to the next start.
+    """
+    rows = rows.withColumn("len", F.size("t")).filter("len > 0")
+    rows = rows.withColumn("s", F.expr("filter(sequence(0, len - 1), i -> i = 0 or t[i] <> t[i - 1])"))
+    runs = F.expr("zip_with(s, slice(concat(s, array(len)), 2, size(s)), (a, b) -> struct(t[a] as token, cast(b - a as bigint) as c))")
+    return rows.select(group, "event_id", "len", F.inline(runs))
+
+
 def _weights(rows: DataFrame, query: str, group: str) -> DataFrame:
     """(group, event_id, token, df, w): TF-IDF weights before normalisation; the query is one more document."""
     spark = rows.sparkSession
     tokens = T.tokenize("clean")
-    each = rows.select(group, "event_id", tokens.alias("t")).withColumn("len", F.size("t")).select(group, "event_id", "len", F.explode("t").alias("token"))
-    counts = each.groupBy(group, "event_id", "len", "token").agg(F.count("*").alias("c"))
+    counts = _counted(rows.select(group, "event_id", F.array_sort(tokens).alias("t")), group)
     own = spark.range(1).select(F.explode(F.array_distinct(T.tokenize(F.lit(query)))).alias("token")).withColumn("in_query", F.lit(1))
     docs = rows.groupBy(group).agg((F.count("*") + (1 if query else 0)).alias("n"))
     df = counts.groupBy(group, "token").agg(F.count("*").alias("df0")).join(own, "token", "left")
     df = df.join(docs, group).select(group, "token", "n", (F.col("df0") + F.coalesce("in_query", F.lit(0))).alias("df"))
-    return counts.join(df, [group, "token"]).withColumn("w", F.col("c") / F.col("len") * F.log(1 + F.col("n") / F.col("df")))
+    return salted_join(counts, df, [group, "token"], "df", "event_id").withColumn("w", F.col("c") / F.col("len") * F.log(1 + F.col("n") / F.col("df")))
 
 
 def tfidf(rows: DataFrame, query: str, group: str = "session_key") -> DataFrame:
@@ -77,7 +90,8 @@ def cosine(rows: DataFrame, query: str, group: str = "session_key") -> DataFrame
 def base_scores(deduped: DataFrame, query: str = "", group: str = "session_key") -> DataFrame:
     """Thread rows with ``i`` (position among them), ``n`` and ``base`` = recency and relevance."""
     rows = thread(deduped)
-    placed = running(rows, [group], [F.col("pos")], {}, position="i", size="n")
+    order = running(rows.select(group, "event_id", "pos"), [group], [F.col("pos")], {}, position="i", size="n")
+    placed = rows.join(order.select("event_id", "i", "n"), "event_id")
     near = cosine(rows, query, group) if query else None
     if near is not None:
         placed = placed.join(near, [group, "event_id"], "left")
@@ -137,7 +151,7 @@ def packs(events: DataFrame, query: str = "", budget: int = BUDGET, title: str =
     Sections and candidates are limited before a session is handed to one pandas call: at most
     53 section rows and 800 candidates, whatever its length.
     """
-    deduped = salience.dedup(positions(events)).persist()
+    deduped = cut_lineage(salience.with_folded(salience.dedup(positions(events))))  # read by each section and the thread
     sections = section_rows(deduped).select("session_key", F.lit(0).alias("part"), "section", F.col("rank").cast("bigint").alias("i"), "text", "event_id", F.lit(None).cast("string").alias("actor"), F.lit(None).cast("string").alias("ts"), F.lit(0.0).alias("base"), F.lit(None).cast("array<string>").alias("words"), F.lit(None).cast("array<double>").alias("weights"))
     chosen_from = candidates(base_scores(deduped, query))
     # Weights of whole texts, with document frequencies over the whole thread and the query.

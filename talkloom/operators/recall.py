@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from talkloom.functions import text as T
 from talkloom.operators import pack, salience, search
 from talkloom.operators.events import positions
+from talkloom.operators.order import running
+from talkloom.session import cut_lineage
 
 SMALL_SESSION, LINE_CHARS = 12, 260
 MAX_HITS, BUDGET = 3, 3500
@@ -17,14 +19,14 @@ DIGEST_LABELS = {"decision": "決定", "error_fix": "エラー→解決", "todo"
 
 
 def hit_sessions(docs: DataFrame, sessions: DataFrame, query: str, max_hits: int | None = MAX_HITS, source: str | None = None) -> DataFrame:
-    """The best hit of each session, for the best ``max_hits`` sessions, newest session first."""
+    """The best hit of each session, for the best ``max_hits`` sessions, newest session (by ``instant``) first."""
     hits = search.search(docs, query, limit=3 * max_hits if max_hits else None, source=source)
     order = [F.col("score").asc_nulls_last(), F.col("ts").desc_nulls_last(), F.col("event_id")]
     best = hits.withColumn("r", F.row_number().over(Window.partitionBy("session_key").orderBy(*order))).filter("r = 1").drop("r")
     if max_hits:
         best = best.orderBy(*order).limit(max_hits)
-    named = best.join(sessions.select("session_key", "title", "first_ts", "last_ts"), "session_key", "left")
-    return named.orderBy(F.col("last_ts").desc_nulls_last(), *order)
+    named = best.join(sessions.select("session_key", "title", "first_ts", "last_ts", "instant"), "session_key", "left")
+    return named.orderBy(F.col("instant").desc_nulls_last(), *order)
 
 
 def event_line(mark: Column) -> Column:
@@ -87,18 +89,18 @@ def within_budget(digest: DataFrame, order: list[Column], budget: int) -> DataFr
 
 def recall(events: DataFrame, docs: DataFrame, sessions: DataFrame, blob_refs: DataFrame, blob_texts: DataFrame, query: str, budget: int = BUDGET, max_hits: int = MAX_HITS, source: str | None = None) -> DataFrame:
     """(rank, session_key, body, cost): digests of the sessions that a question hits."""
-    hits = hit_sessions(docs, sessions, query, max_hits, source).persist()
-    found = digests(events, hits, blob_refs, blob_texts, query.split()).join(hits.select("session_key", "last_ts"), "session_key")
-    return within_budget(found, [F.col("last_ts").desc_nulls_last(), F.col("session_key")], budget).select("rank", "session_key", "body", "cost")
+    hits = cut_lineage(hit_sessions(docs, sessions, query, max_hits, source))  # a few rows, read several times
+    found = digests(events, hits, blob_refs, blob_texts, query.split()).join(hits.select("session_key", "instant"), "session_key")
+    return within_budget(found, [F.col("instant").desc_nulls_last(), F.col("session_key")], budget).select("rank", "session_key", "body", "cost")
 
 
 def rules(events: DataFrame, per_section: int = 20, since: str | None = None) -> DataFrame:
     """(section, rank, text, event_id): decisions, constraints and fixes of all sessions, once each."""
     own = events if since is None else events.filter(F.col("ts").isNull() | (F.substring("ts", 1, 19) >= since))
-    merged = own.withColumn("session_key", F.lit("all")).withColumn("order_ts", F.coalesce("ts", F.lit("")))
-    from talkloom.operators.order import running
-
-    placed = running(merged, ["session_key"], [F.col("order_ts"), F.coalesce("seq", F.lit(0)), F.col("event_id")], {}, position="pos")
+    merged = own.withColumn("session_key", F.lit("all"))
+    keys = merged.select("event_id", "session_key", F.coalesce("ts", F.lit("")).alias("order_ts"), F.coalesce("seq", F.lit(0)).alias("seq"))
+    placed = running(keys, ["session_key"], [F.col("order_ts"), F.col("seq"), F.col("event_id")], {}, position="pos")
+    placed = merged.join(placed.select("event_id", "pos"), "event_id")
     deduped = salience.dedup(placed)
     lines = salience.salient_lines(deduped).filter("category in ('decision', 'constraint')").select(F.col("category").alias("section"), "text", "event_id", "pos", "line_no", T.normalise_blanks("text").alias("norm"))
     errors = salience.error_fixes(deduped).filter("solved")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from talkloom.functions import text as T
 from talkloom.operators.order import running
+from talkloom.operators.skew import salted_join
 
 #: Least length of a text that may be replaced by a reference to its first occurrence.
 DEDUP_CHARS = 120
@@ -32,15 +33,17 @@ WRITERS = ("Write", "Edit", "MultiEdit", "create_file", "str_replace")
 def dedup(placed: DataFrame, group: str = "session_key") -> DataFrame:
     """Adds ``first_id`` and ``deduped``: long texts seen before in the group refer to their first event.
 
-    The first event of a text is an aggregate joined back, so that a text which fills a group is
-    never sorted in one task.
+    ``first_id`` is null for texts that do not occur again. The first event of a text is an aggregate
+    joined back, so that a text which fills a group is never sorted in one task.
     """
-    rows = placed.withColumn("dedup_key", T.sha256(F.regexp_replace("text", r"(?U)^\s+|\s+$", "")))
-    first = rows.filter("dedup_key is not null").groupBy(group, "dedup_key").agg(F.min(F.struct("pos", "event_id")).alias("__first"))
-    out = rows.join(first, [group, "dedup_key"], "left")
-    body = F.length(F.regexp_replace("text", r"(?U)^\s+|\s+$", ""))
-    repeated = (body >= DEDUP_CHARS) & (F.col("pos") > F.col("__first.pos"))
-    return out.withColumn("first_id", F.col("__first.event_id")).withColumn("deduped", F.coalesce(repeated, F.lit(False))).drop("__first", "dedup_key")
+    body = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    # Only long texts can be replaced: short ones have no key, so that a frequent remark gathers nowhere.
+    keys = placed.select(group, "event_id", "pos", F.when(F.length(body) >= DEDUP_CHARS, T.sha256(body)).alias("dedup_key")).filter("dedup_key is not null")
+    first = keys.groupBy(group, "dedup_key").agg(F.min(F.struct("pos", "event_id")).alias("__first"), F.count("*").alias("__n")).filter("__n > 1")
+    found = salted_join(keys, first, [group, "dedup_key"], "__n", "event_id").select("event_id", "__first")
+    out = placed.join(found, "event_id", "left")
+    repeated = F.col("pos") > F.col("__first.pos")
+    return out.withColumn("first_id", F.col("__first.event_id")).withColumn("deduped", F.coalesce(repeated, F.lit(False))).drop("__first")
 
 
 def versions(deduped: DataFrame, group: str = "session_key") -> DataFrame:
@@ -73,6 +76,18 @@ def fold(pairs: DataFrame) -> DataFrame:
     return pairs.filter("folded").select("event_id", "file_path", "version", "text", "next_text").mapInPandas(run, "event_id string, folded_text string")
 
 
+def with_folded(deduped: DataFrame, group: str = "session_key") -> DataFrame:
+    """The rows with the text of folded versions replaced by their differences.
+
+    Without a column ``file_path`` the path is the hint of that name.
+    """
+    if "file_path" not in deduped.columns:
+        deduped = deduped.withColumn("file_path", F.get_json_object("hints", "$.file_path"))
+    folded = fold(versions(deduped, group))
+    out = deduped.join(folded, "event_id", "left")
+    return out.withColumn("text", F.coalesce("folded_text", "text")).drop("folded_text")
+
+
 def _hits(pattern: str, cap: int) -> Column:
     """The first matching lines of an event, stripped and clipped."""
     stripped = F.transform(T.lines("clean"), lambda line: F.regexp_replace(line, r"(?U)^\s+|\s+$", ""))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talkloom.functions import text as T
 from talkloom.operators.events import source_filter
+from talkloom.session import cut_lineage
 
 K1, B = 1.2, 0.75
 #: Characters of an attachment's text that belong to the searched text of its event.
@@ -65,6 +66,7 @@ def search(docs: DataFrame, query: str, limit: int | None = 10, source: str | No
         hits = bm25(docs, long_terms).filter(source_filter(source))
         for t in short_terms:
             hits = hits.filter(F.contains("doc", F.lit(t)))
+        hits = cut_lineage(hits.select("event_id", "session_key", "ts", "actor", "doc", "score"))  # scored once, then tested and read
         if not hits.isEmpty():
             out = hits.withColumn("snippet", snippet("doc", terms[0])).select(*columns)
             return out.orderBy("score", "event_id").limit(limit) if limit else out

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from talkloom.functions import text as T
 from talkloom.operators import events as E
-from talkloom.operators import pack, recall, salience, search
+from talkloom.operators import pack, recall, salience, search, serving
 from talkloom.sources import parsers
 from talkloom.sources.tables import table
 from talkloom.streaming import ingest
 
 PHRASE, TWO_TERMS, SHORT_TERMS, RARE = "token estimator", "quarantine laptop", "retries 12", "Q x"
 QUERY = "retention job keeps the lock file"
+INDEXED, PROJECT = "estimator", "/2025/07/"
 CUTOFF = "2025-07-01T00:00:00Z"
 
 
@@ -21,6 +22,20 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return E.canonical(table(spark, d, "chat_events"))
 
 
+def _zones(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "source_zones")
+
+
+def _dated(spark: SparkSession, d: str) -> DataFrame:
+    """Unique events with their instants."""
+    return E.with_instant(_events(spark, d), _zones(spark, d))
+
+
+def _sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions with the instant of their last stamp."""
+    return E.with_instant(table(spark, d, "sessions"), _zones(spark, d), "last_ts")
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return search.search_text(_events(spark, d), table(spark, d, "blob_refs"), table(spark, d, "blob_texts"))
 
@@ -50,22 +65,23 @@ def stats_overview(spark, d):
 
 
 def stats_per_source(spark, d):
-    return _events(spark, d).groupBy("source_kind").agg(F.count("*").alias("n"), F.min("ts").alias("oldest"))
+    return _dated(spark, d).groupBy("source_kind").agg(F.count("*").alias("n"), E.iso(F.min("instant")).alias("oldest"))
 
 
 def session_rollup(spark, d):
-    return E.session_rollup(_events(spark, d))
+    return E.session_rollup(_dated(spark, d)).drop("instant")
 
 
 def list_sessions(spark, d):
     """The 30 sessions of one family of sources with the newest activity: the limit is the feature."""
-    return E.list_sessions(table(spark, d, "sessions"), 30, "c").select("session_key", "last_ts", "n_events", "title")
+    return E.list_sessions(_sessions(spark, d), 30, "c").select("session_key", E.iso("instant").alias("last_at"), "n_events", "title")
 
 
 def latest_sessions(spark, d):
     """The newest session of each source."""
-    s = table(spark, d, "sessions").filter("last_ts is not null")
-    return s.groupBy("source_kind").agg(F.max(F.struct("last_ts", "session_key")).alias("m")).select("source_kind", "m.session_key", "m.last_ts")
+    s = _sessions(spark, d).filter("instant is not null")
+    newest = s.groupBy("source_kind").agg(F.max(F.struct("instant", "session_key")).alias("m"))
+    return newest.select("source_kind", "m.session_key", E.iso("m.instant").alias("last_at"))
 
 
 def session_tail(spark, d):
@@ -115,7 +131,13 @@ def search_fallback(spark, d):
 
 def search_top(spark, d):
     """The ten best hits: the limit is the feature."""
-    return search.search(_docs(spark, d), PHRASE, limit=10)
+    return search.search(_docs(spark, d), PHRASE, limit=10).withColumn("score", F.round("score", 6))
+
+
+def search_indexed(spark, d):
+    """Events that hold a term, found by the postings of its trigrams."""
+    docs = _docs(spark, d)
+    return search.search_index(search.trigrams(docs), docs, INDEXED).select("event_id", "session_key")
 
 
 def trigram_postings(spark, d):
@@ -165,13 +187,13 @@ def mmr_packs(spark, d):
 
 def recall_sessions(spark, d):
     """The best hit of each session that a question hits."""
-    return recall.hit_sessions(_docs(spark, d), table(spark, d, "sessions"), PHRASE, None).select("session_key", "event_id", F.round("score", 6).alias("score"), "title", "last_ts")
+    return recall.hit_sessions(_docs(spark, d), _sessions(spark, d), PHRASE, None).select("session_key", "event_id", F.round("score", 6).alias("score"), "title", "last_ts")
 
 
 def recall_digests(spark, d):
     """Digests of the three best sessions within the budget: the limits are the feature."""
-    tables = [table(spark, d, t) for t in ("sessions", "blob_refs", "blob_texts")]
-    return recall.recall(_events(spark, d), _docs(spark, d), tables[0], tables[1], tables[2], PHRASE)
+    refs, texts = table(spark, d, "blob_refs"), table(spark, d, "blob_texts")
+    return recall.recall(_events(spark, d), _docs(spark, d), _sessions(spark, d), refs, texts, PHRASE)
 
 
 def evidence(spark, d):
@@ -196,11 +218,12 @@ def html_text(spark, d):
 
 
 def prune_report(spark, d):
-    return E.prune_report(_events(spark, d), table(spark, d, "raw_records"), table(spark, d, "quarantine"), CUTOFF)
+    quarantine = E.with_instant(table(spark, d, "quarantine", "id", "source_kind", "ts"), _zones(spark, d))
+    return E.prune_report(_dated(spark, d), table(spark, d, "raw_records"), quarantine, CUTOFF)
 
 
 def prune_survivors(spark, d):
-    return E.reaggregate(E.prune_survivors(_events(spark, d), CUTOFF))
+    return E.reaggregate(E.prune_survivors(_dated(spark, d), CUTOFF))
 
 
 def orphan_blobs(spark, d):
@@ -257,23 +280,76 @@ def key_prefixes(spark, d):
     return _events(spark, d).groupBy(p.alias("prefix")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "prefix").limit(8)
 
 
-def parsed_events(spark, d):
-    """All raw records through their source's parser."""
+def _parsed(spark, d):
     return parsers.parse_all(table(spark, d, "raw_records"))
 
 
+def parsed_events(spark, d):
+    """All raw records through their source's parser, with their hints; messages of drops have their repetition as id."""
+    hint = lambda name: F.get_json_object("hints", f"$.{name}").alias(name)
+    repeated = F.when((F.col("source_kind") == "chatgpt_web") & (F.col("kind") == "message"), F.element_at(F.split("native_id", ":"), -1)).otherwise(F.col("native_id"))
+    hints = [hint(n) for n in ("cwd", "git_branch", "cc_version", "model", "title")]
+    return _parsed(spark, d).select("raw_id", "source_kind", "locator", "session_key", repeated.alias("native_id"), "ts", "actor", "kind", "text", *hints, "error")
+
+
 def parsed_counts(spark, d):
-    return parsed_events(spark, d).groupBy("source_kind", "kind", "actor", "error").agg(F.count("*").alias("n"))
+    return _parsed(spark, d).groupBy("source_kind", "kind", "actor", "error").agg(F.count("*").alias("n"))
+
+
+def parsed_ids(spark, d):
+    """Fingerprints and ids of parsed events; messages of drops, whose ids hash the whole message, are in ``parsed_events``."""
+    cols = [F.col(c) for c in ("source_kind", "session_key", "native_id", "locator", "kind")]
+    return _parsed(spark, d).filter("error is null and source_kind <> 'chatgpt_web'").select("raw_id", "native_id", "kind", "session_key", "source_kind", "locator", "text", "fingerprint", T.event_id(*cols, F.col("fingerprint")).alias("event_id"))
 
 
 def markdown_sessions(spark, d):
-    return parsers.markdown_chat(table(spark, d, "raw_records").filter("source_kind = 'aider'"))
+    return parsers.markdown_chat(table(spark, d, "raw_records").filter("source_kind = 'aider'")).select("raw_id", "session_key", "native_id", "actor", "text")
 
 
 def json_shapes(spark, d):
     return parsers.json_shape(table(spark, d, "raw_records").filter("source_kind <> 'aider'"))
 
 
+def sessions_compact(spark, d):
+    """Every session as a client gets it: its last 200 events, shortened, up to 60,000 characters of JSON."""
+    return serving.sessions_compact(_events(spark, d)).select("session_key", "total", "returned", "truncated")
+
+
+def slim_events(spark, d):
+    return serving.slim(_events(spark, d))
+
+
+def recent_events(spark, d):
+    """The oldest 5,000 events of the last fortnight before the cutoff: the limit is the feature."""
+    return serving.recent_events(_dated(spark, d), CUTOFF).select("event_id", E.iso("instant").alias("at"), "seq")
+
+
+def project_sessions(spark, d):
+    return serving.project_sessions(_events(spark, d), table(spark, d, "sessions"), PROJECT)
+
+
+def id_prefix(spark, d):
+    return serving.by_prefix(_events(spark, d), "a1").select("event_id", "session_key")
+
+
+def blob_lookup(spark, d):
+    """Each reference with its attachment's text, if there is one."""
+    texts = table(spark, d, "blob_texts", "sha256", "extractor", "chars")
+    return table(spark, d, "blob_refs").join(texts, "sha256", "left").select("event_id", "sha256", "extractor", "chars")
+
+
+def savings(spark, d):
+    """What references save in the log: repeated texts of each session."""
+    deduped = _deduped(spark, d)
+    none = deduped.filter(F.lit(False)).select("text", F.col("text").alias("folded_text"))
+    return serving.savings(deduped, none).filter("metric like 'dedup%'")
+
+
+def latest_tail(spark, d):
+    """The last five events of the most recently active session."""
+    return serving.get_session(_events(spark, d), _sessions(spark, d), "latest", 5, compact=False).select("session_key", "event_id", "pos")
+
+
 def tumbling_counts(spark, d):
     """Hourly counts of the event stream by type (an extension: the log has no windows)."""
     return ingest.windowed_counts(table(spark, d, "events"), keys=("event_type",))
@@ -283,9 +359,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         ces_events, event_ids, stats_overview, stats_per_source, session_rollup, list_sessions, latest_sessions, session_tail, since_ts, since_event, context_around,
-        text_metrics, media_kinds, search_phrase, search_and_short, search_source, search_fallback, search_top, trigram_postings, exact_dedup, version_pairs, version_diffs,
+        text_metrics, media_kinds, search_phrase, search_and_short, search_source, search_fallback, search_top, search_indexed, trigram_postings, exact_dedup, version_pairs, version_diffs,
         salience_lines, error_fixes, artifacts, tfidf, cosine_query, base_score, mmr_packs, recall_sessions, recall_digests, evidence, rules, redacted, redact_counts, html_text,
         prune_report, prune_survivors, orphan_blobs, blob_candidates, raw_of_sessions, tool_pairs, mirror_docs, export_events, export_sessions, quarantine_list, quarantine_unique,
-        raw_unique, key_prefixes, parsed_events, parsed_counts, markdown_sessions, json_shapes, tumbling_counts,
+        raw_unique, key_prefixes, parsed_events, parsed_counts, parsed_ids, markdown_sessions, json_shapes,
+        sessions_compact, slim_events, recent_events, project_sessions, id_prefix, blob_lookup, savings, latest_tail, tumbling_counts,
     )
 }

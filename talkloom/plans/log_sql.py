@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from talkloom.functions import text as T
 from talkloom.operators import salience
-from talkloom.plans.log_queries import CUTOFF, PHRASE, QUERY
+from talkloom.plans import source_sql, stamp_sql
+from talkloom.plans.log_queries import CUTOFF, INDEXED, PHRASE, PROJECT, QUERY
 
 _WS = r"[\s\x{0b}\x{85}\p{Z}]"
 _INK = r"[^\s\x{0b}\x{85}\p{Z}]"
@@ -40,6 +41,9 @@ def _tokens(c: str) -> str:
 EV = """ev AS (
   SELECT event_id, session_key, source_kind, seq, ts, lower(trim(actor, ' ')) AS actor, kind, text, hints, native_id, locator, raw_id, ingested_at, json_extract_string(hints, '$.file_path') AS file_path
   FROM chat_events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ingested_at NULLS FIRST, session_key NULLS FIRST, source_kind NULLS FIRST, seq NULLS FIRST, ts NULLS FIRST) = 1)"""
+DATED = EV + ", evs AS (SELECT *, ts AS stamp FROM ev), " + stamp_sql.instants("evs", "dt")
+SESSIONS = "ses AS (SELECT *, last_ts AS stamp FROM sessions), " + stamp_sql.instants("ses", "sd")
+_CUT = f"epoch_us(TIMESTAMPTZ '{CUTOFF}')"
 PL = EV + """, pl AS (
   SELECT ev.*, row_number() OVER w AS pos, count(*) OVER (PARTITION BY session_key) AS session_size FROM ev
   WINDOW w AS (PARTITION BY session_key ORDER BY coalesce(seq, -4611686018427387904), coalesce(ts, ''), event_id))"""
@@ -132,6 +136,28 @@ def _redact_counts() -> str:
     return f"WITH {EV}, r AS ({inner}) SELECT * FROM ({rows}) WHERE n > 0"
 
 
+def _rules() -> str:
+    """Decisions, constraints and fixes of all sessions merged by stamp text, the first of equal ones, twenty of a section."""
+    merged = f"""{EV}, pl AS (SELECT ev.* REPLACE ('all' AS session_key), row_number() OVER (ORDER BY coalesce(ts, ''), coalesce(seq, 0), event_id) AS pos FROM ev),
+      keyed AS (SELECT pl.*, {_strip('text')} AS body FROM pl),
+      dd AS (SELECT keyed.*, coalesce(length(body) >= {salience.DEDUP_CHARS} AND row_number() OVER (PARTITION BY body ORDER BY pos) > 1, false) AS deduped FROM keyed),
+      cl AS (SELECT event_id, pos, actor, {_clean('text')} AS clean FROM dd WHERE NOT deduped)"""
+    lines = " UNION ALL ".join(f"SELECT '{cat}' AS section, unnest(h) AS text, event_id, pos, generate_subscripts(h, 1) - 1 AS line_no FROM (SELECT event_id, pos, {_hits(salience.RULES[cat], 240)} AS h FROM cl)" for cat in ("decision", "constraint"))
+    fix = f"coalesce(actor = 'assistant' AND regexp_matches(clean, {_q(salience.FIX)}), false)"
+    fix_line = f"list_filter(list_transform(regexp_split_to_array(clean, {_q(_LINE_END)}), lambda s: {_strip('s')}), lambda s: regexp_matches(s, {_q(salience.FIX)}))[1]"
+    blank = lambda c: f"trim(regexp_replace({c}, {_q(_WS + '+')}, ' ', 'g'), ' ')"
+    return f"""WITH {merged}, al AS ({lines}), lf AS (SELECT section, text, event_id, pos, line_no, {blank('text')} AS norm FROM al QUALIFY row_number() OVER (PARTITION BY section, text ORDER BY pos, line_no) = 1),
+      e0 AS (SELECT event_id, pos, CAST({fix} AS INT) AS is_fix, CASE WHEN {fix} THEN {_cut(fix_line, 200)} END AS fix, {_hits(salience.ERROR, 200)} AS errors FROM cl),
+      e1 AS (SELECT *, coalesce(sum(is_fix) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn FROM e0),
+      er AS (SELECT turn, pos, event_id, unnest(errors) AS error, generate_subscripts(errors, 1) - 1 AS line_no FROM e1),
+      fx AS (SELECT turn, fix FROM e1 WHERE is_fix = 1),
+      rk AS (SELECT er.*, fix, row_number() OVER (PARTITION BY turn ORDER BY pos DESC, line_no DESC) AS r FROM er JOIN fx USING (turn)),
+      ef AS (SELECT 'error_fix' AS section, 'ERR: ' || error || chr(10) || ' → FIX: ' || coalesce(fix, '') AS text, event_id, pos, line_no, 'fix::' || {blank("coalesce(fix, '')")} AS norm FROM rk WHERE r <= 2),
+      ev_ AS (SELECT *, CASE section WHEN 'decision' THEN 1 WHEN 'constraint' THEN 2 ELSE 3 END AS place FROM (SELECT * FROM lf UNION ALL SELECT * FROM ef) WHERE norm <> ''),
+      f1 AS (SELECT * FROM ev_ QUALIFY row_number() OVER (PARTITION BY norm ORDER BY place, pos, line_no, text) = 1)
+      SELECT section, row_number() OVER (PARTITION BY section ORDER BY pos, line_no, text) AS rank, text, event_id FROM f1 QUALIFY rank <= 20"""
+
+
 def _mirror() -> str:
     clean = _redact(_clean("text"))
     slug = lambda c: f"regexp_replace(regexp_replace({c}, {_q('[^A-Za-z0-9_' + chr(92) + 'p{L}' + chr(92) + 'p{N}-]+')}, '-', 'g'), '^-+|-+$', '', 'g')"
@@ -176,13 +202,13 @@ ORACLES: dict[str, str] = {
     "stats_overview": """SELECT 'events' AS metric, count(DISTINCT event_id) AS value FROM chat_events UNION ALL SELECT 'sessions', count(*) FROM sessions
       UNION ALL SELECT 'raw_records', count(*) FROM raw_records UNION ALL SELECT 'raw_bytes', CAST(coalesce(sum(octet_length(payload)), 0) AS BIGINT) FROM raw_records
       UNION ALL SELECT 'blob_texts', count(*) FILTER (WHERE chars > 0) FROM blob_texts UNION ALL SELECT 'quarantine', count(*) FROM quarantine""",
-    "stats_per_source": f"WITH {EV} SELECT source_kind, count(*) AS n, min(ts) AS oldest FROM ev GROUP BY source_kind",
-    "session_rollup": f"""WITH {EV}, t AS (SELECT session_key, {_cut('line', 60)} AS title FROM (SELECT session_key, {_TITLE_LINE} AS line, ingested_at, event_id FROM ev WHERE {_USER})
+    "stats_per_source": f"WITH {DATED} SELECT source_kind, count(*) AS n, {stamp_sql.iso('min(epoch_us)')} AS oldest FROM dt GROUP BY source_kind",
+    "session_rollup": f"""WITH {DATED}, t AS (SELECT session_key, {_cut('line', 60)} AS title FROM (SELECT session_key, {_TITLE_LINE} AS line, ingested_at, event_id FROM ev WHERE {_USER})
         QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY ingested_at NULLS FIRST, event_id) = 1),
-      g AS (SELECT session_key, min(source_kind) AS source_kind, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts FROM ev GROUP BY session_key)
+      g AS (SELECT session_key, min(source_kind) AS source_kind, count(*) AS n_events, {stamp_sql.iso('min(epoch_us)')} AS first_ts, {stamp_sql.iso('max(epoch_us)')} AS last_ts FROM dt GROUP BY session_key)
       SELECT g.*, t.title FROM g LEFT JOIN t USING (session_key)""",
-    "list_sessions": "SELECT session_key, last_ts, n_events, title FROM sessions WHERE lower(source_kind) LIKE '%c%' ORDER BY last_ts DESC NULLS LAST, session_key LIMIT 30",
-    "latest_sessions": "SELECT source_kind, session_key, last_ts FROM sessions WHERE last_ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_kind ORDER BY last_ts DESC, session_key DESC) = 1",
+    "list_sessions": f"WITH {SESSIONS} SELECT session_key, {stamp_sql.iso('epoch_us')} AS last_at, n_events, title FROM sd WHERE lower(source_kind) LIKE '%c%' ORDER BY epoch_us DESC NULLS LAST, session_key LIMIT 30",
+    "latest_sessions": f"WITH {SESSIONS} SELECT source_kind, session_key, {stamp_sql.iso('epoch_us')} AS last_at FROM sd WHERE epoch_us IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_kind ORDER BY epoch_us DESC, session_key DESC) = 1",
     "session_tail": f"WITH {PL} SELECT session_key, event_id, pos FROM pl WHERE pos > session_size - 5",
     "since_ts": f"WITH {EV} SELECT session_key, event_id, ts FROM ev WHERE ts > '{CUTOFF}'",
     "since_event": f"WITH {PL}, s AS (SELECT session_key, min(pos) AS p FROM pl WHERE starts_with(event_id, 'a') GROUP BY session_key) SELECT session_key, event_id, pos FROM pl JOIN s USING (session_key) WHERE pos > p",
@@ -217,15 +243,37 @@ ORACLES: dict[str, str] = {
       r AS (SELECT *, greatest(1, p - 100) AS s, least(length(text), p + 179) AS e FROM p WHERE p > 0)
       SELECT event_id, sha256, CASE WHEN s > 1 THEN '…' ELSE '' END || replace(substr(text, s, e - s + 1), chr(10), ' ') || CASE WHEN e < length(text) THEN '…' ELSE '' END AS excerpt FROM r""",
     "html_text": f"SELECT doc_id, {_html('text')} AS text FROM documents",
-    "prune_report": f"""WITH {EV} SELECT 'events' AS tbl, count(*) AS n_deleted FROM ev WHERE ts < '{CUTOFF}'
-      UNION ALL SELECT 'raw_records', count(*) FROM raw_records WHERE ingested_at < TIMESTAMPTZ '{CUTOFF}' AND id NOT IN (SELECT raw_id FROM ev WHERE raw_id IS NOT NULL AND (ts IS NULL OR ts >= '{CUTOFF}'))
-      UNION ALL SELECT 'quarantine', count(*) FROM quarantine WHERE ts < '{CUTOFF}'""",
-    "prune_survivors": f"WITH {EV} SELECT session_key, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts FROM ev WHERE ts IS NULL OR ts >= '{CUTOFF}' GROUP BY session_key",
+    "prune_report": f"""WITH {DATED}, qs AS (SELECT *, ts AS stamp FROM quarantine), {stamp_sql.instants('qs', 'qd')} SELECT 'events' AS tbl, count(*) AS n_deleted FROM dt WHERE epoch_us < {_CUT}
+      UNION ALL SELECT 'raw_records', count(*) FROM raw_records WHERE epoch_us(ingested_at) < {_CUT} AND id NOT IN (SELECT raw_id FROM dt WHERE raw_id IS NOT NULL AND (epoch_us IS NULL OR epoch_us >= {_CUT}))
+      UNION ALL SELECT 'quarantine', count(*) FROM qd WHERE epoch_us < {_CUT}""",
+    "prune_survivors": f"WITH {DATED} SELECT session_key, count(*) AS n_events, {stamp_sql.iso('min(epoch_us)')} AS first_ts, {stamp_sql.iso('max(epoch_us)')} AS last_ts FROM dt WHERE epoch_us IS NULL OR epoch_us >= {_CUT} GROUP BY session_key",
     "orphan_blobs": "SELECT sha256, chars FROM blob_texts t WHERE NOT EXISTS (SELECT 1 FROM blob_refs r WHERE r.sha256 = t.sha256)",
     "blob_candidates": "SELECT DISTINCT sha256 FROM blob_refs r WHERE NOT EXISTS (SELECT 1 FROM blob_texts t WHERE t.sha256 = r.sha256 AND t.chars > 0 AND length(t.text) > 0)",
     "raw_of_sessions": f"""WITH {EV} SELECT id, source_kind, locator FROM raw_records WHERE id IN (SELECT raw_id FROM ev WHERE session_key IN (SELECT session_key FROM ev GROUP BY session_key HAVING count(*) >= 20))""",
     "tool_pairs": f"""WITH {PL} SELECT r.session_key, r.event_id, c.event_id AS call_id, regexp_extract(c.text, {_q(_NAME)}, 1) AS tool_name
-      FROM pl r JOIN pl c ON r.session_key = c.session_key AND r.pos = c.pos + 1 WHERE r.kind = 'tool_result' AND c.kind = 'tool_use'""",
+      FROM (SELECT * FROM pl WHERE kind = 'tool_result') r ASOF JOIN (SELECT * FROM pl WHERE kind = 'tool_use') c ON r.session_key = c.session_key AND r.pos > c.pos""",
+    "search_top": f"""WITH {_bm25([PHRASE.split()[0], PHRASE.split()[1]])} SELECT event_id, session_key, ts, actor, {_snip('doc', PHRASE.split()[0])} AS snippet, round(score, 6) AS score FROM hits
+      ORDER BY hits.score, event_id LIMIT 10""",
+    "search_indexed": f"WITH {DOCS} SELECT event_id, session_key FROM docs WHERE contains(lower(doc), '{INDEXED}')",
+    "slim_events": f"WITH {EV}, c AS (SELECT *, coalesce({_clean('text')}, '') AS x FROM ev) SELECT event_id, ts, actor, kind, {_cut('x', 1500)} AS text FROM c",
+    "sessions_compact": f"""WITH {PL}, l AS (SELECT *, coalesce({_clean('text')}, '') AS x FROM pl WHERE pos > session_size - 200), m AS (SELECT * REPLACE ({_cut('x', 1500)} AS x) FROM l),
+      z AS (SELECT session_key, session_size, pos, length('{{' || concat_ws(',', {', '.join(source_sql._member(n, v) for n, v in (('event_id', 'event_id'), ('ts', 'ts'), ('actor', 'actor'), ('kind', 'kind'), ('text', 'x')))}) || '}}') AS n FROM m),
+      w AS (SELECT *, 1 + sum(n + 1) OVER (PARTITION BY session_key ORDER BY pos DESC) <= 60000 AS fits FROM z)
+      SELECT session_key, any_value(session_size) AS total, count(*) FILTER (WHERE fits) AS returned, count(*) FILTER (WHERE NOT fits) > 0 AS truncated FROM w GROUP BY session_key""",
+    "recent_events": f"""WITH {DATED} SELECT event_id, {stamp_sql.iso('epoch_us')} AS at, seq FROM dt WHERE epoch_us IS NULL OR epoch_us >= {_CUT} - CAST(14 * 86400 AS BIGINT) * 1000000
+      ORDER BY epoch_us NULLS FIRST, seq NULLS FIRST, event_id LIMIT 5000""",
+    "project_sessions": f"""WITH {EV}, f AS (SELECT session_key, locator FROM ev QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY coalesce(seq, -4611686018427387904), coalesce(ts, ''), event_id) = 1)
+      SELECT session_key FROM f WHERE contains(locator, '{PROJECT}') UNION SELECT session_key FROM sessions WHERE contains(concat_ws(' ', session_key, title), '{PROJECT}')""",
+    "id_prefix": f"WITH {EV} SELECT event_id, session_key FROM ev WHERE event_id LIKE 'a1%'",
+    "blob_lookup": "SELECT event_id, sha256, extractor, chars FROM blob_refs LEFT JOIN blob_texts USING (sha256)",
+    "savings": f"""WITH {DD}, d AS (SELECT count(*) AS n, coalesce(sum(length(text)), 0) AS c, coalesce(sum(coalesce(len(regexp_extract_all(text, '[A-Za-z0-9_]+')) + len(regexp_extract_all(text, {_q(r'[^A-Za-z0-9_' + _WS[1:])})), 0)), 0) AS t FROM dd WHERE deduped)
+      SELECT 'dedup_texts' AS metric, CAST(n AS BIGINT) AS value FROM d UNION ALL SELECT 'dedup_chars', CAST(c AS BIGINT) FROM d UNION ALL SELECT 'dedup_tokens', CAST(t AS BIGINT) FROM d""",
+    "latest_tail": f"""WITH {PL}, {SESSIONS}, k AS (SELECT session_key FROM sd WHERE epoch_us IS NOT NULL ORDER BY epoch_us DESC, session_key LIMIT 1)
+      SELECT session_key, event_id, pos FROM pl WHERE pos > session_size - 5 AND session_key IN (SELECT session_key FROM k)""",
+    "export_events": source_sql.export_sql(EV),
+    "export_sessions": source_sql.export_sessions_sql(PL),
+    "parsed_ids": f"""WITH {source_sql.PARSED}, p AS (SELECT *, sha256('text' || coalesce(text, '')) AS fp FROM parsed WHERE error IS NULL AND source_kind <> 'chatgpt_web')
+      SELECT raw_id, native_id, kind, session_key, source_kind, locator, text, fp AS fingerprint, substr(sha256(concat_ws('|', source_kind, session_key, coalesce(native_id, locator), kind, fp)), 1, 32) AS event_id FROM p""",
     "quarantine_list": "SELECT id, ts, source_kind, locator, error, octet_length(payload) AS payload_bytes FROM quarantine WHERE lower(source_kind) LIKE '%c%' ORDER BY id DESC LIMIT 20",
     "quarantine_unique": "SELECT locator, error, min(id) AS id FROM quarantine GROUP BY locator, error",
     "raw_unique": "SELECT locator, sha256, id FROM raw_records QUALIFY row_number() OVER (PARTITION BY locator, sha256 ORDER BY ingested_at NULLS FIRST, id) = 1",
@@ -233,5 +281,6 @@ ORACLES: dict[str, str] = {
     "redacted": f"WITH {EV} SELECT event_id, {_redact('text')} AS text FROM ev",
     "redact_counts": _redact_counts(),
     "mirror_docs": _mirror(),
+    "rules": _rules(),
     "tumbling_counts": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

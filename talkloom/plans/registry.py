@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talkloom.plans import log_queries, log_sql, training_queries
+from talkloom.plans import log_queries, log_sql, source_sql, stamp_sql, training_queries
 
 QUERIES = {**log_queries.QUERIES, **training_queries.QUERIES}
-ORACLES = dict(log_sql.ORACLES)
+ORACLES = {**log_sql.ORACLES, **stamp_sql.ORACLES, **source_sql.ORACLES}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkloom.operators import drift, quarantine, timestamps
@@ -38,6 +38,11 @@ def _stamps(spark: SparkSession, d: str) -> DataFrame:
     return timestamps.normalise(rows, table(spark, d, "source_zones"), "stamp")
 
 
+def _outcome() -> Column:
+    """missing, none (senseless or impossible), canonical or rewritten."""
+    return F.when(F.col("epoch_us_form").isin("senseless", "impossible"), "none").otherwise(F.col("epoch_us_form"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Each stamp that denotes an instant in another spelling than the canonical one."""
     return _stamps(spark, d).filter("epoch_us_form = 'rewritten'").select("tbl", "row_key", "col_name", "epoch_us").distinct()
@@ -46,16 +51,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_normalised(spark: SparkSession, d: str) -> DataFrame:
     """All stamps with their instant as text in one form (null where there is none)."""
     text = F.date_format(F.timestamp_micros("epoch_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    return _stamps(spark, d).select("tbl", "row_key", "col_name", "stamp", text.alias("utc"), F.col("epoch_us_form").alias("form"))
+    return _stamps(spark, d).select("tbl", "row_key", "col_name", "stamp", text.alias("utc"), _outcome().alias("form"))
 
 
 def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     """Stamps by source kind, column and outcome."""
-    return _stamps(spark, d).groupBy("source_kind", "col_name", F.col("epoch_us_form").alias("form")).agg(F.count("*").alias("n"))
+    return _stamps(spark, d).groupBy("source_kind", "col_name", _outcome().alias("form")).agg(F.count("*").alias("n"))
 
 
 def _payloads(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "raw_records", "id", "source_kind", "locator", "payload").filter("source_kind <> 'aider'")
+    return table(spark, d, "raw_records", "id", "source_kind", "locator", "payload").filter("not (source_kind <=> 'aider')")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

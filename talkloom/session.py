@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,13 +32,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared checkpoint folder; a temporary one only on one machine where none is set (tests)."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         named = "file://" + tempfile.mkdtemp(prefix="talkloom-checkpoint-")
     context.setCheckpointDir(named)
     return context.getCheckpointDir() or named
@@ -51,9 +52,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder for a table that is written once and read again."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a path of any scheme."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder of any file system holds a written Parquet table."""
+    fs, where = file_system(spark, path)
+    return fs.exists(where) and any(f.getPath().getName().endswith(".parquet") or f.isDirectory() for f in fs.listStatus(where))
 
 
 def spread(df: DataFrame) -> DataFrame:

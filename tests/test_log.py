@@ -1,6 +1,7 @@
 """Small fixtures for the log operators, with values worked out by hand or by plain Python."""
 
 import difflib
+import json
 import math
 import re
 
@@ -56,10 +57,52 @@ def test_slices(events):
     assert sorted(r.off for r in E.context(events, hit, 2, 3).collect()) == [0, 1, 2, 3]
 
 
-def test_rollup(events):
-    rows = {r.session_key: r for r in E.session_rollup(events).collect()}
+@pytest.fixture(scope="module")
+def dated(spark, events):
+    return E.with_instant(events, zones(spark)).cache()
+
+
+def zones(spark):
+    return spark.createDataFrame([("claude_code", "America/New_York", "mdy")], "source_kind string, tz_name string, date_order string")
+
+
+def test_rollup(dated):
+    rows = {r.session_key: r for r in E.session_rollup(dated).collect()}
     assert rows["s"].n_events == 11 and rows["s"].title == "Please fix the index"
     assert rows["other"].title is None
+    assert (rows["s"].first_ts, rows["s"].last_ts) == ("2025-01-01T00:00:00.000000Z", "2025-01-01T00:10:00.000000Z")
+
+
+MIXED = ["1735689600", "2025-01-01 00:30:00", "Wed, 01 Jan 2025 09:00:00 +0900", "01/01/2025 01:00:00 AM", "1735693200000", None, "yesterday"]
+
+
+def test_retention_compares_instants(spark):
+    """Stamps of many spellings: as text, epoch numbers would all be older than any ISO cutoff."""
+    rows = spark.createDataFrame([event(i, "t", ts=ts)[:4] + (ts,) + event(i, "t")[5:] for i, ts in enumerate(MIXED)], SCHEMA)
+    dated = E.with_instant(rows, zones(spark))
+    kept = {int(r.event_id, 16) for r in E.prune_survivors(dated, "2025-01-01T01:00:00Z").collect()}
+    assert kept == {1, 3, 4, 5, 6}  # 05:30 and 06:00 UTC in New York, 01:00 UTC, and those without instant
+    assert E.latest_session(E.session_rollup(dated)).first().session_key == "s"
+    with pytest.raises(ValueError):
+        E.micros("2025-01-01")
+
+
+def test_tool_pairs(spark):
+    """Several calls, other events in between, and tool ids that say otherwise."""
+    use = lambda i, hints=None: event(i, f"[tool_use T{i}] {{}}", actor="assistant", kind="tool_use", hints=hints)
+    result = lambda i, hints=None: event(i, "out", actor="tool", kind="tool_result", hints=hints)
+    rows = [result(0), use(1), event(2, "wait"), result(3), use(4, '{"tool_use_id": "a"}'), use(5), result(6, '{"tool_use_id": "a"}'), result(7)]
+    got = {int(r.event_id, 16): (int(r.call_id, 16), r.tool_name) for r in E.tool_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {3: (1, "T1"), 6: (4, "T4"), 7: (5, "T5")}
+
+
+def test_salted_join(spark):
+    from talkloom.operators.skew import salted_join
+
+    rows = spark.range(5000).selectExpr("if(id < 4000, 'hot', concat('k', id % 7)) as k", "id")
+    sizes = rows.groupBy("k").agg(F.count("*").alias("n"))
+    out = salted_join(rows, sizes, ["k"], "n", "id", hot_rows=100)
+    assert out.count() == 5000 and out.filter("k = 'hot' and n = 4000").count() == 4000
 
 
 def test_running_splits_hot_groups(spark):
@@ -130,11 +173,11 @@ def test_search(spark, events):
     assert E.evidence(refs, texts, ["zzz", "zebra"]).first().excerpt == "zebra zebra"
 
 
-def test_pack_and_recall(spark, events):
+def test_pack_and_recall(spark, events, dated):
     body = pack.packs(events, "index", budget=300).filter("session_key = 's'").first()
     assert "決定事項" not in body.body and "TODO: write tests" in body.body and body.used_tokens <= 300
     assert pack.packs(events, budget=5).first().n_selected == 0
-    sessions = E.session_rollup(events)
+    sessions = E.session_rollup(dated)
     refs = spark.createDataFrame([], "sha256 string, event_id string")
     texts = spark.createDataFrame([], "sha256 string, extractor string, chars bigint, text string")
     docs = search.search_text(events, refs, texts)
@@ -158,12 +201,49 @@ def test_mmr_prefers_difference():
     assert pack.select_diverse([0.5, 0.5], [{}, {}], [1, 1], 2) == [0, 1]  # ties: the earlier first
 
 
-def test_prune(spark, events):
+def test_prune(spark, dated):
     raw = spark.createDataFrame([(1, None)], "id bigint, ingested_at timestamp")
-    q = spark.createDataFrame([("2024-01-01",)], "ts string")
-    report = {r.tbl: r.n_deleted for r in E.prune_report(events, raw, q, "2025-01-01T00:05:00Z").collect()}
+    q = E.with_instant(spark.createDataFrame([("claude_code", "2024-01-01 00:00:00")], "source_kind string, ts string"), zones(spark))
+    report = {r.tbl: r.n_deleted for r in E.prune_report(dated, raw, q, "2025-01-01T00:05:00Z").collect()}
     assert report == {"events": 5, "raw_records": 0, "quarantine": 1}
-    assert E.reaggregate(E.prune_survivors(events, "2026")).count() == 0
+    assert E.reaggregate(E.prune_survivors(dated, "2026-01-01T00:00:00Z")).count() == 0
+
+
+def test_serving(spark, events, dated):
+    from talkloom.operators import serving as V
+
+    sessions = E.session_rollup(dated)
+    one = V.get_session(events, sessions, "s", max_events=4).first()
+    cells = json.loads(one.events)
+    assert (one.total, one.returned, one.truncated) == (11, 4, False) and [c["event_id"][-1] for c in cells] == ["7", "8", "9", "a"]
+    short = V.get_session(events, sessions, "s", max_events=11, max_chars=700).first()
+    assert short.truncated and len(short.events) <= 700 and json.loads(short.events)[-1]["event_id"][-1] == "a"
+    assert V.get_session(events, sessions, "latest:claude", compact=False).count() == 1  # the session with the last stamp
+    assert V.get_session(events, sessions, "s", since_event_id=f"{8:032x}", compact=False).count() == 2
+    assert V.get_session(events, sessions, "s", since_event_id="zz", compact=False).count() == 0 and V.get_session(events, sessions, "nobody").count() == 0
+    assert [r.off for r in V.get_context(events, f"{3:032x}", 1, 1).orderBy("off").collect()] == [-1, 0, 1]
+    texts = spark.createDataFrame([("ab", "plain", 3, "abc")], "sha256 string, extractor string, chars bigint, text string")
+    blobs = spark.createDataFrame([("ab", "image/png", b"12345"), ("cd", None, b"123456789")], "sha256 string, mime string, content binary")
+    assert V.get_blob_text(texts, "ab").first().text == "abc" and V.get_blob_text(texts, "x").count() == 0
+    assert V.get_blob_base64(blobs, "ab").first().b64 == "MTIzNDU=" and V.get_blob_base64(blobs, "cd", most=5).first().error == "too large"
+    assert V.by_prefix(events, "0" * 31).count() == len(EVENTS)
+    assert [r.seq for r in V.recent_events(dated, "2025-01-01T00:12:00+00:00", days=1, limit=3).collect()] == [0, 1, 2]
+    assert V.recent(dated, "2026-01-01T00:00:00+00:00", 1).count() == 0
+    assert {r.session_key for r in V.project_sessions(events, sessions, "Please fix").collect()} == {"s"}
+    assert {r.session_key for r in V.project_sessions(events, sessions, "/f::").collect()} == {"s", "other"}
+    assert "Please fix" in V.get_context_pack(dated, now="2025-01-01T01:00:00+00:00").first().body
+    deduped = salience.dedup(E.positions(events))
+    saved = {r.metric: r.value for r in V.savings(deduped, deduped.filter("seq = 0").selectExpr("text", "'x' as folded_text")).collect()}
+    assert saved["dedup_texts"] == 1 and saved["dedup_chars"] == len(LONG) and saved["dedup_tokens"] == 60 and saved["fold_chars"] == len(EVENTS[0][7]) - 1
+
+
+def test_packs_fold_versions(spark):
+    old, new = "\n".join(f"TODO: line {i}" for i in range(80)), "\n".join(f"TODO: line {i if i != 40 else 'x'}" for i in range(80))
+    hint = '{"file_path": "f.py"}'
+    df = spark.createDataFrame([event(0, old, kind="tool_result", hints=hint), event(1, new, kind="tool_result", hints=hint), event(2, "hello there")], SCHEMA)
+    folded = {r.seq: r.text for r in salience.with_folded(salience.dedup(E.positions(E.canonical(df)))).collect()}
+    assert folded[0].startswith("[snapshot折り畳み f.py v1") and folded[1] == new and folded[2] == "hello there"
+    assert "hello there" in pack.packs(E.canonical(df)).first().body
 
 
 TEXTS = ["a b  c_1 日本語 é!", "\x1b[31mred\x1b[0m x\r y", "a\n\n\n\nb<system-reminder>x\ny</system-reminder>  z", "", "日 本語テスト ABC", "　​", "x" * 200]
@@ -203,6 +283,11 @@ def test_sql_functions(spark):
     rows = spark.createDataFrame(list(enumerate(TEXTS)), "i int, t string").selectExpr("i", "t", "strip_noise(t) AS c", "estimate_tokens(t) AS n", "truncate_text(t, 50) AS x", "sha8(t) AS s", "normalise_blanks(t) AS b")
     columns = rows.withColumn("c2", T.strip_noise("t")).withColumn("n2", T.estimate_tokens("t")).withColumn("x2", T.truncate("t", 50)).collect()
     assert all((r.c, r.n, r.x) == (r.c2, r.n2, r.x2) and len(r.s) == 8 for r in columns)
+    more = rows.selectExpr("tokenize_text(t) AS w", "media_kind('', concat(t, '.mp4')) AS m", "human_size(length(t) * 1000) AS h", "t").withColumn("w2", T.tokenize("t")).withColumn("m2", T.media_kind(F.lit(""), F.concat("t", F.lit(".mp4")))).withColumn("h2", T.human_size(F.length("t") * 1000)).collect()
+    assert all((r.w, r.m, r.h) == (r.w2, r.m2, r.h2) for r in more)
+    spark.createDataFrame([("a", "s", "2025", "one Two three"), ("b", "s", None, "two"), ("c", "s", "2026", "four")], "event_id string, session_key string, ts string, doc string").createOrReplaceTempView("docs")
+    sql.register_search(spark)
+    assert [r.event_id for r in spark.sql("SELECT event_id FROM search_texts('TWO', 5) ORDER BY ts DESC NULLS LAST").collect()] == ["a", "b"] and spark.sql("SELECT * FROM search_texts('two', 1)").count() == 1
 
 
 def test_command_line(capsys, spark, tmp_path):
@@ -211,6 +296,12 @@ def test_command_line(capsys, spark, tmp_path):
 
     main(["key_prefixes", DATA])
     assert "claude_code" in capsys.readouterr().out
+    main(["session", DATA, "latest"])
+    assert '"returned"' in capsys.readouterr().out
+    main(["sessions", DATA, "claude"])
+    assert capsys.readouterr().out.count("session_key") > 3
+    main(["nothing"])
+    assert "Queries:" in capsys.readouterr().out
     main(["key_prefixes", DATA, str(tmp_path / "o")])
     assert spark.read.parquet(str(tmp_path / "o")).count() > 0
 
