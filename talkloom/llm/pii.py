@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.llm.models import BoostedTrees, platt, sigmoid
-from talkloom.session import bounded_sample, spread
+from talkloom.session import bounded_sample, cut_lineage, spread
 
 TYPES = ["email", "phone", "id_number", "address", "person_name"]
 PLACEHOLDER = {"email": "<EMAIL>", "phone": "<PHONE>", "id_number": "<ID_NUMBER>", "address": "<ADDRESS>", "person_name": "<PERSON_NAME>"}
@@ -310,35 +310,49 @@ class Detector:
 
 
 # What Python's \s, \w and \d match in text, for Java's patterns; Java may not know the newest characters (Cn).
-_SPACE, _WORD, _DIGIT = r"\s\x1c-\x1f\x85\p{Z}", r"\p{L}\p{N}\p{Cn}_", r"[\p{Nd}\p{Cn}]"
+# The second of each is what they match in ASCII texts, where it is much faster.
+_SPACE = (r"\s\x1c-\x1f\x85\p{Z}", r"\s\x1c-\x1f")
+_WORD = (r"\p{L}\p{N}\p{Cn}_", r"a-zA-Z0-9_")
+_DIGIT = (r"[\p{Nd}\p{Cn}]", r"[0-9]")
 
 
-def _jvm(pattern: str) -> str:
+def _jvm(pattern: str, ascii: bool = False) -> str:
     """A generator's pattern, whose ``\\s`` and ``\\w`` stand within classes, in Java's syntax."""
-    for old, new in (("?P<", "?<"), ("(?i:", "(?iu:"), (r"\d", _DIGIT), (r"\s", _SPACE), (r"\w", _WORD)):
+    for old, new in (("?P<", "?<"), ("(?i:", "(?i:" if ascii else "(?iu:"), (r"\d", _DIGIT[ascii]), (r"\s", _SPACE[ascii]), (r"\w", _WORD[ascii])):
         pattern = pattern.replace(old, new)
     return pattern
 
 
-#: Cheap test of narrowed text before any Python runs: what each generator needs to propose a span, but
-#: for unspaced kanji names, whose words the mined lexicon adds.
-PREFILTER = "|".join([
-    rf"@|[(\[{{<][{_SPACE}]?(?:at|AT|At|アット)[{_SPACE}]?[)\]}}>]|[{_SPACE}]AT[{_SPACE}]| at [A-Za-z0-9\-]+[{_SPACE}]?[(\[{{<]?[{_SPACE}]?(?:dot|DOT)",
-    # Phone numbers have nine digits, of which an extension holds at most five.
-    rf"{_DIGIT}(?:[ .()\-]{{0,2}}{_DIGIT}){{8}}|{_DIGIT}(?:[ .()\-]{{0,2}}{_DIGIT}){{3}}[{_SPACE}]?(?:ext\.?|x|内線)[{_SPACE}]?{_DIGIT}",
-    _jvm(ID.pattern),
-    rf"{_DIGIT}[A-Za-z]?,? (?:{_jvm(_CAP)} ){{1,4}}(?:{_STREET})|(?:straße|strasse|str\.|weg|platz|gasse|allee|ring)[{_SPACE}]{_DIGIT}",
-    rf"{_DIGIT}(?: (?:bis|ter))?,? (?:rue|avenue|boulevard|place|chemin|quai|allée|impasse|cours) ",
-    rf"P\.?[{_SPACE}]?O\.?[{_SPACE}]?Box[{_SPACE}]{_DIGIT}|〒[{_SPACE}]?{_DIGIT}{{3}}|[都道府県][一-鿿ヶぁ-んァ-ン]{{1,8}}[市区町村郡][一-鿿ヶぁ-んァ-ン]{{0,12}}{_DIGIT}",
-    rf"{_DIGIT} (?:street|lane|road|avenue) of the|(?:Street|Lane|Road|Square|Pier|Quay) (?:of|{_DIGIT}|[A-ZÀ-Þ])",
-    NAME.pattern.replace("?P<", "?<"),
-    rf"(?<![{_KANJI}])[{_KANJI}]{{1,3}} (?:[{_KANJI}]{{1,3}}|[ぁ-ん]{{2,4}}|[ァ-ン]{{2,4}})|[{_KANJI}]{{2}}(?:さん|様|氏|殿|です。)",
-    _BEFORE.pattern.removesuffix(r"\s*$") + rf"[{_SPACE}]*[{_KANJI}]{{2}}",
-])
+def _patterns(ascii: bool) -> str:
+    """What each generator needs to propose a span, but for unspaced kanji names without trigger."""
+    space, digit = _SPACE[ascii], _DIGIT[ascii]
+    parts = [
+        rf"@|[(\[{{<][{space}]?(?:at|AT|At|アット)[{space}]?[)\]}}>]|[{space}]AT[{space}]| at [A-Za-z0-9\-]+[{space}]?[(\[{{<]?[{space}]?(?:dot|DOT)",
+        # Phone numbers have nine digits, of which an extension holds at most five.
+        rf"{digit}(?:[ .()\-]{{0,2}}{digit}){{8}}|{digit}(?:[ .()\-]{{0,2}}{digit}){{3}}[{space}]?(?:ext\.?|x|内線)[{space}]?{digit}",
+        _jvm(ID.pattern, ascii),
+        rf"{digit}[A-Za-z]?,? (?:{_jvm(_CAP, ascii)} ){{1,4}}(?:{_STREET})|(?:straße|strasse|str\.|weg|platz|gasse|allee|ring)[{space}]{digit}",
+        rf"{digit}(?: (?:bis|ter))?,? (?:rue|avenue|boulevard|place|chemin|quai|allée|impasse|cours) ",
+        rf"P\.?[{space}]?O\.?[{space}]?Box[{space}]{digit}",
+        rf"{digit} (?:street|lane|road|avenue) of the|(?:Street|Lane|Road|Square|Pier|Quay) (?:of|{digit}|[A-ZÀ-Þ])",
+        NAME.pattern.replace("?P<", "?<"),
+    ]
+    if not ascii:
+        parts += [
+            rf"〒[{space}]?{digit}{{3}}|[都道府県][一-鿿ヶぁ-んァ-ン]{{1,8}}[市区町村郡][一-鿿ヶぁ-んァ-ン]{{0,12}}{digit}",
+            rf"(?<![{_KANJI}])[{_KANJI}]{{1,3}} (?:[{_KANJI}]{{1,3}}|[ぁ-ん]{{2,4}}|[ァ-ン]{{2,4}})|[{_KANJI}]{{2}}(?:さん|様|氏|殿|です。)",
+            _BEFORE.pattern.removesuffix(r"\s*$") + rf"[{space}]*[{_KANJI}]{{2}}",
+        ]
+    return "|".join(parts)
+
+
+#: Cheap test of narrowed text before any Python runs, and its form for ASCII texts.
+PREFILTER, ASCII_PREFILTER = _patterns(False), _patterns(True)
 #: Runs of kanji that may be names without a blank; used where the lexicon is too long for a pattern.
 ANY_KANJI = rf"[{_KANJI}]{{2}}(?:さん|様|氏|殿|です|は|が|[。、.,:|\t\n]|\z)"
 #: What a text needs to teach the lexicon something.
-NAMES = NAME.pattern.replace("?P<", "?<") + rf"|(?<![{_KANJI}])[{_KANJI}]{{1,3}} (?:[{_KANJI}]{{1,3}}|[ぁ-ん]{{2,4}}|[ァ-ン]{{2,4}})"
+ASCII_NAMES = NAME.pattern.replace("?P<", "?<")
+NAMES = ASCII_NAMES + rf"|(?<![{_KANJI}])[{_KANJI}]{{1,3}} (?:[{_KANJI}]{{1,3}}|[ぁ-ん]{{2,4}}|[ァ-ン]{{2,4}})"
 #: Words up to which the lexicon is a part of the prefilter.
 PATTERN_WORDS = 2000
 
@@ -357,13 +371,24 @@ def narrowed(column: str) -> Column:
     return F.when(F.col(column).rlike(r"[！-～\u3000\xa0\u2010\u2011\u2013\u2212]"), F.translate(column, wide, "".join(map(chr, _WIDE.values())))).otherwise(F.col(column))
 
 
+def _passes(column: str, plain: str, wide: str) -> Column:
+    """Whether a text matches: ASCII texts the first pattern, others, narrowed, the second."""
+    ascii = F.octet_length(column) == F.length(column)
+    return F.coalesce(F.when(ascii, F.col(column).rlike(plain)).otherwise(narrowed(column).rlike(wide)), F.lit(False))
+
+
+def may_hold(column: str, lexicon: Lexicon | None = None) -> Column:
+    """Whether a text may have a candidate."""
+    return _passes(column, ASCII_PREFILTER, prefilter(lexicon))
+
+
 def count_names(texts: DataFrame, column: str = "text") -> Lexicon:
     """The lexicon of all texts: partial counts of each batch, summed up.
 
     Words that never stood at a trigger have rate 0 and are left out, and so are those of less than
     ``NAME_SHARE`` of all such words: they count by their own context.
     """
-    own = texts.select(F.col(column).alias("t")).filter(F.coalesce(narrowed("t").rlike(NAMES), F.lit(False)))
+    own = texts.select(F.col(column).alias("t")).filter(_passes("t", ASCII_NAMES, NAMES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon()
@@ -374,7 +399,8 @@ def count_names(texts: DataFrame, column: str = "text") -> Lexicon:
                 lexicon = Lexicon()
         yield lexicon_rows(lexicon)
 
-    counts = spread(own).mapInArrow(run, "word string, hits bigint, seen bigint").groupBy("word").agg(F.sum("hits").alias("hits"), F.sum("seen").alias("seen")).filter("hits > 0")
+    counts = spread(own).mapInArrow(run, "word string, hits bigint, seen bigint").groupBy("word").agg(F.sum("hits").alias("hits"), F.sum("seen").alias("seen"))
+    counts = cut_lineage(counts.filter("hits > 0"))  # counted once, read for the total and the words
     total = counts.agg(F.sum("hits").alias("total"))
     kept = counts.crossJoin(F.broadcast(total)).filter(F.col("hits") >= F.col("total") * NAME_SHARE).collect()  # one row against all
     return Lexicon({r.word: r.hits for r in kept}, {r.word: r.seen for r in kept})
@@ -400,7 +426,7 @@ def find(rows: DataFrame, keys: list[str], text: str = "text", detector: Detecto
     """
     detector = detector or fit_detector(rows, keys, text)
     picked = spread(rows.select(*keys, F.col(text).alias("__text")))
-    maybe = F.coalesce(narrowed("__text").rlike(prefilter(detector.lexicon)), F.lit(False))
+    maybe = may_hold("__text", detector.lexicon)
     fields = ", ".join(f"`{k}` {picked.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{fields}, spans array<struct<start:int,end:int,type:string>>, redacted string"
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string())]))
