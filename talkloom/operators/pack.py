@@ -57,9 +57,9 @@ def _weights(rows: DataFrame, query: str, group: str) -> DataFrame:
     return salted_join(counts, df, [group, "token"], "df", "event_id").withColumn("w", F.col("c") / F.col("len") * F.log(1 + F.col("n") / F.col("df")))
 
 
-def tfidf(rows: DataFrame, query: str, group: str = "session_key") -> DataFrame:
-    """(group, event_id, token, w): TF-IDF weights of length one for each text."""
-    raw = _weights(rows, query, group)
+def tfidf(rows: DataFrame, query: str, group: str = "session_key", raw: DataFrame | None = None) -> DataFrame:
+    """(group, event_id, token, w): TF-IDF weights of length one for each text; ``raw`` where they were weighed before."""
+    raw = raw if raw is not None else cut_lineage(_weights(rows, query, group))  # read for the norms and the weights
     norms = raw.groupBy(group, "event_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norms, [group, "event_id"]).select(group, "event_id", "token", (F.col("w") / F.col("norm")).alias("w"))
 
@@ -77,22 +77,23 @@ def query_weights(rows: DataFrame, query: str, group: str = "session_key") -> Da
     return raw.join(norms, group).select(group, "token", (F.col("w") / F.col("norm")).alias("q"))
 
 
-def cosine(rows: DataFrame, query: str, group: str = "session_key") -> DataFrame:
+def cosine(rows: DataFrame, query: str, group: str = "session_key", raw: DataFrame | None = None) -> DataFrame:
     """(group, event_id, cosine) of each row whose text shares a word with the query.
 
     Norms and products come from one aggregation over the weights.
     """
-    pairs = _weights(rows, query, group).join(query_weights(rows, query, group), [group, "token"], "left")
+    raw = raw if raw is not None else _weights(rows, query, group)
+    pairs = raw.join(query_weights(rows, query, group), [group, "token"], "left")
     sums = pairs.groupBy(group, "event_id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return sums.filter("dot is not null").select(group, "event_id", (F.col("dot") / F.col("norm")).alias("cosine"))
 
 
-def base_scores(deduped: DataFrame, query: str = "", group: str = "session_key") -> DataFrame:
+def base_scores(deduped: DataFrame, query: str = "", group: str = "session_key", raw: DataFrame | None = None) -> DataFrame:
     """Thread rows with ``i`` (position among them), ``n`` and ``base`` = recency and relevance."""
     rows = thread(deduped)
     order = running(rows.select(group, "event_id", "pos"), [group], [F.col("pos")], {}, position="i", size="n")
     placed = rows.join(order.select("event_id", "i", "n"), "event_id")
-    near = cosine(rows, query, group) if query else None
+    near = cosine(rows, query, group, raw) if query else None
     if near is not None:
         placed = placed.join(near, [group, "event_id"], "left")
     relevance = F.coalesce("cosine", F.lit(0.0)) * RELEVANCE if query else F.lit(0.0)
@@ -153,9 +154,10 @@ def packs(events: DataFrame, query: str = "", budget: int = BUDGET, title: str =
     """
     deduped = cut_lineage(salience.with_folded(salience.dedup(positions(events))))  # read by each section and the thread
     sections = section_rows(deduped).select("session_key", F.lit(0).alias("part"), "section", F.col("rank").cast("bigint").alias("i"), "text", "event_id", F.lit(None).cast("string").alias("actor"), F.lit(None).cast("string").alias("ts"), F.lit(0.0).alias("base"), F.lit(None).cast("array<string>").alias("words"), F.lit(None).cast("array<double>").alias("weights"))
-    chosen_from = candidates(base_scores(deduped, query))
-    # Weights of whole texts, with document frequencies over the whole thread and the query.
-    weights = tfidf(thread(deduped), query).join(chosen_from.select("session_key", "event_id"), ["session_key", "event_id"], "left_semi")
+    # Weights of whole texts, with document frequencies over the whole thread and the query; weighed once.
+    raw = cut_lineage(_weights(thread(deduped), query, "session_key"))
+    chosen_from = cut_lineage(candidates(base_scores(deduped, query, raw=raw)))
+    weights = tfidf(thread(deduped), query, raw=raw).join(chosen_from.select("session_key", "event_id"), ["session_key", "event_id"], "left_semi")
     weights = weights.groupBy("session_key", "event_id").agg(F.sort_array(F.collect_list(F.struct("token", "w"))).alias("v"))
     best = chosen_from.join(weights, ["session_key", "event_id"], "left").select("session_key", F.lit(1).alias("part"), F.col("source_kind").alias("section"), F.col("i").cast("bigint").alias("i"), F.substring("clean", 1, 4 * ITEM_CHARS).alias("text"), "event_id", "actor", "ts", "base", F.col("v.token").alias("words"), F.col("v.w").alias("weights"))
     order = {name: k for k, (name, _, _) in enumerate(SECTIONS)}

@@ -233,7 +233,7 @@ def test_serving(spark, events, dated):
     assert {r.session_key for r in V.project_sessions(events, sessions, "/f::").collect()} == {"s", "other"}
     assert "Please fix" in V.get_context_pack(dated, now="2025-01-01T01:00:00+00:00").first().body
     deduped = salience.dedup(E.positions(events))
-    saved = {r.metric: r.value for r in V.savings(deduped, deduped.filter("seq = 0").selectExpr("text", "'x' as folded_text")).collect()}
+    saved = {r.metric: r.value for r in V.savings(deduped, deduped.filter("seq = 0 and session_key = 's'").selectExpr("text", "'x' as folded_text")).collect()}
     assert saved["dedup_texts"] == 1 and saved["dedup_chars"] == len(LONG) and saved["dedup_tokens"] == 60 and saved["fold_chars"] == len(EVENTS[0][7]) - 1
 
 
