@@ -40,7 +40,8 @@ def _counted(rows: DataFrame, group: str) -> DataFrame:
     distance to the next start.
     """
     rows = rows.withColumn("len", F.size("t")).filter("len > 0")
-    rows = rows.withColumn("s", F.expr("filter(sequence(0, len - 1), i -> i = 0 or t[i] <> t[i - 1])"))
+    # Behind a generator, so that the starts are not built anew for each element that reads them.
+    rows = rows.select(group, "event_id", "len", "t", F.expr("inline(array(named_struct('s', filter(sequence(0, len - 1), i -> i = 0 or t[i] <> t[i - 1]))))"))
     runs = F.expr("zip_with(s, slice(concat(s, array(len)), 2, size(s)), (a, b) -> struct(t[a] as token, cast(b - a as bigint) as c))")
     return rows.select(group, "event_id", "len", F.inline(runs))
 
@@ -49,7 +50,8 @@ def _weights(rows: DataFrame, query: str, group: str) -> DataFrame:
     """(group, event_id, token, df, w): TF-IDF weights before normalisation; the query is one more document."""
     spark = rows.sparkSession
     tokens = T.tokenize("clean")
-    counts = _counted(rows.select(group, "event_id", F.array_sort(tokens).alias("t")), group)
+    rows = cut_lineage(rows.select(group, "event_id", F.array_sort(tokens).alias("t")))  # read for the counts, their totals and the texts
+    counts = _counted(rows, group)
     own = spark.range(1).select(F.explode(F.array_distinct(T.tokenize(F.lit(query)))).alias("token")).withColumn("in_query", F.lit(1))
     docs = rows.groupBy(group).agg((F.count("*") + (1 if query else 0)).alias("n"))
     df = counts.groupBy(group, "token").agg(F.count("*").alias("df0")).join(own, "token", "left")
@@ -64,17 +66,16 @@ def tfidf(rows: DataFrame, query: str, group: str = "session_key", raw: DataFram
     return raw.join(norms, [group, "event_id"]).select(group, "event_id", "token", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def query_weights(rows: DataFrame, query: str, group: str = "session_key") -> DataFrame:
-    """(group, token, q): normalised TF-IDF weights of the query in each group."""
-    tokens = rows.sparkSession.range(1).select(T.tokenize(F.lit(query)).alias("t")).select(F.size("t").alias("len"), F.explode("t").alias("token"))
-    counts = tokens.groupBy("token", "len").agg(F.count("*").alias("c"))
-    docs = rows.groupBy(group).agg((F.count("*") + 1).alias("n"))
-    present = rows.select(group, "event_id", F.explode(F.array_distinct(T.tokenize("clean"))).alias("token")).join(counts.select("token"), "token", "left_semi")
-    df = present.groupBy(group, "token").agg((F.count("*") + 1).alias("df"))
-    every = docs.crossJoin(F.broadcast(counts))  # the query's few words for each group
-    raw = every.join(df, [group, "token"], "left").withColumn("w", F.col("c") / F.col("len") * F.log(1 + F.col("n") / F.coalesce("df", F.lit(1))))
-    norms = raw.groupBy(group).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, group).select(group, "token", (F.col("w") / F.col("norm")).alias("q"))
+def query_weights(raw: DataFrame, query: str, group: str = "session_key") -> DataFrame:
+    """(group, token, q): normalised TF-IDF weights of the query in each group with words, from the texts' weights."""
+    tokens = raw.sparkSession.range(1).select(T.tokenize(F.lit(query)).alias("t")).select(F.size("t").alias("len"), F.explode("t").alias("token"))
+    counts = F.broadcast(tokens.groupBy("token", "len").agg(F.count("*").alias("c")))  # the query's few words
+    docs = raw.groupBy(group).agg(F.max("n").alias("n"))
+    df = raw.select(group, "token", "df").join(counts.select("token"), "token", "left_semi").groupBy(group, "token").agg(F.max("df").alias("df"))
+    every = docs.crossJoin(counts)  # the query's few words for each group
+    own = every.join(df, [group, "token"], "left").withColumn("w", F.col("c") / F.col("len") * F.log(1 + F.col("n") / F.coalesce("df", F.lit(1))))
+    norms = own.groupBy(group).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return own.join(norms, group).select(group, "token", (F.col("w") / F.col("norm")).alias("q"))
 
 
 def cosine(rows: DataFrame, query: str, group: str = "session_key", raw: DataFrame | None = None) -> DataFrame:
@@ -82,8 +83,8 @@ def cosine(rows: DataFrame, query: str, group: str = "session_key", raw: DataFra
 
     Norms and products come from one aggregation over the weights.
     """
-    raw = raw if raw is not None else _weights(rows, query, group)
-    pairs = raw.join(query_weights(rows, query, group), [group, "token"], "left")
+    raw = raw if raw is not None else cut_lineage(_weights(rows, query, group))  # read for the query and the products
+    pairs = raw.join(query_weights(raw, query, group), [group, "token"], "left")
     sums = pairs.groupBy(group, "event_id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return sums.filter("dot is not null").select(group, "event_id", (F.col("dot") / F.col("norm")).alias("cosine"))
 
