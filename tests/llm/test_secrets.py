@@ -106,3 +106,15 @@ def test_the_segmentation_decides():
 def test_split_literals_are_judged_as_one():
     half = "AKIA" + "AF6VEZ", "NRQ7IIZG4U"
     assert S.scan_text(f'key = "{half[0]}" + \\\n      "{half[1]}"  # api key', S.Segmenter(WORDS))[0] == ["api_key"]
+
+
+def test_session_ids_are_no_secrets(spark):
+    ids = ["3bfbb5e8-366abdad", "80f3f726-238e-4b9a-a3c8-8c85316fdc9e", "0a" * 16]
+    rows = [(f"{k} {v}", json.dumps({"type": "user", k: v, "text": "password: none"})) for k in ("sessionId", "session", "session_id", "sid") for v in ids]
+    out = S.find(spark.createDataFrame(rows, "row_key string, text string"), ["row_key"], "text", WORDS, payload=True).collect()
+    assert len(out) == len(rows) and all(r.types == [] and r.masked == dict(rows)[r.row_key] for r in out)
+    assert S.scan_text(f"INFO session_id={ids[0]} opened", S.Segmenter(WORDS))[0] == []
+    for text in (f"Cookie: lang=en; sessionid={ids[1]}", f"Cookie: session_token={ids[0]}", f"sid={R1}"):
+        assert S.scan_text(text, S.Segmenter(WORDS))[0] == ["token"]
+    for member in ({"sessionToken": ids[0]}, {"session_secret": ids[1]}, {"session": R1}):
+        assert S.scan_payload(json.dumps(member), S.Segmenter(WORDS))[0]
