@@ -262,13 +262,30 @@ def _masked(value, name: str, words: Segmenter, kinds: set[str], changed: dict[s
     return root[0]
 
 
+class _Again(str):
+    """A member name that its object already has: equal to itself only, so that no member is lost."""
+
+    __slots__ = ()
+    __hash__ = object.__hash__
+
+    def __eq__(self, other: object) -> bool:
+        return self is other
+
+
+def _members(pairs: list[tuple[str, object]]) -> dict[str, object]:
+    out: dict[str, object] = {}
+    for name, value in pairs:
+        out[_Again(name) if name in out else name] = value
+    return out
+
+
 def scan_payload(text: str, words: Segmenter) -> tuple[list[str], str]:
     """As :func:`scan_text`, for a JSON payload: its strings are read decoded, each in the context of
     its member's name, and the payload still parses."""
     if text.lstrip()[:1] not in "{[":
         return scan_text(text, words)
     try:
-        value = json.loads(text)
+        value = json.loads(text, object_pairs_hook=_members)
     except (ValueError, RecursionError):
         return scan_text(text, words)
     kinds: set[str] = set()
@@ -281,15 +298,36 @@ def scan_payload(text: str, words: Segmenter) -> tuple[list[str], str]:
         for ascii_only in (False, True):
             out = out.replace(json.dumps(old, ensure_ascii=ascii_only), json.dumps(new, ensure_ascii=ascii_only))
     # Strings escaped in another way are not found as written: then the payload is written anew.
-    return sorted(kinds), out if json.loads(out) == value else json.dumps(value, ensure_ascii=False)
-
-
-#: Cheap test before any Python runs; each context needs one of these.
+    same = json.dumps(json.loads(out, object_pairs_hook=_members)) == json.dumps(value)
+    return sorted(kinds), out if same else json.dumps(value, ensure_ascii=False)
+
+
+#: Java's classes for Python's white space, and for its word characters and all else beyond ASCII.
+_SPACES = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_S, _W = rf"[{_SPACES}]", r"[\w.\-[^\x00-\x7f]]"
+_SHORT_VALUE = r"[^\s\"'`<>,;\\]{4}"
+#: What follows a name in ``_NAMED`` and ``_XML``, or in a JSON member.
+_ASSIGNED = (
+    rf"(?:(?:\\?[\"'\])]{{1,2}})?{_S}?(?:=|:|\\?[\"'] value=|\\?[\"'],)[=>]{{0,2}}{_S}?(?:[brfu]{{0,2}}\\?[\"'`][^\n]{{4}}|{_SHORT_VALUE})"
+    rf"|[:\w.\-[^\x00-\x7f]]*\\?[\"'] value=\\?[\"']|\"\s*:\s*[\"\[]|[^\n:=]{{0,50}}[:=]{_S}?{_SHORT_VALUE})"
+)
+#: Session ids as JSON members, which neither ``scan`` nor ``scan_member`` takes for secrets.
+_ID_MEMBER = r"\"\s*:\s*\"(?:[0-9a-f]+(?:-[0-9a-f]+){1,9}|(?:-?[0-9a-z]){0,11})\"\s*[,}]"
+#: Test before any Python runs, for Java. It passes whatever one of the patterns above matches, by parts
+#: of them: values are cut to their first characters, leading words and ``\\b`` are dropped, and texts with
+#: letters that match ASCII ones without regard to case go to Python at once. No group repeats without
+#: bound, which would exhaust Java's stack.
 PREFILTER = (
-    r"(?i)(?:keys?|tokens?|pass(?:word|wd|phrase|code)s?|pwd|secrets?|credentials?|sid)[\w.-]*\\*[\"'\])]*\s?(?:=>|:=|=|:|\\*[\"'] value=|\\*[\"'],)\s?\S"
-    r"|\b(?:ENV|ARG|setx?)\s+\w*(?:KEY|TOKEN|PASS|SECRET|PWD)|bearer\b|\bbasic [a-z0-9+/=]{8}|://[^\s/:@\"']*:[^\s/@\"']+@|sshpass|curl\b.*\s-u\s|--?password|--pass|identified by|mysql\b.*-p"
-    r"|(?:password|passphrase|passcode|api key|access key|token)(?: is| was)?:? [!-~]*[0-9!#$%^&*?~]|login \S+ password|(?:client|login|connect|authenticate|auth|api)\(\s*\\*[\"'][a-z0-9_+/=.-]{20}|パスワード|暗証番号|APIキー|トークン|PRIVATE KEY|PuTTY-User|AGE-SECRET|LS0tLS1CRUdJTi"
-    r"|(?:api key|access key|token|secret)\b[^\n]{0,40}[:=]|(?://|#|/\*)[^\n]*(?:api key|token|password|secret)|AKIA|ASIA[A-Z0-9]{16}|AIza|\bsk-|[sr]k_(?:live|test)|gh[pousr]_|glpat-|xox[a-z]-|npm_|hf_|pypi-|eyJ[a-z0-9]"
+    rf"(?i)(?:p(?:ass|w)|keys?(?: id)?|secret|credential|token|bearer|jwt|パスワード|暗証番号){_W}*+{_ASSIGNED}|s(?:ess|id){_W}*+(?!{_ID_MEMBER}){_ASSIGNED}"
+    rf"|\"name\"\s*:\s*\"[ \w.\-[^\x00-\x7f]]*?(?:p(?:ass|w)|key|secret|credential|token|bearer|jwt|sess|sid|パスワード|暗証番号)"
+    rf"|(?:ENV|ARG|setx?){_S}+{_W}*?(?:{_PASSWORD}|{_API}|{_TOKEN}){_W}*{_S}+[\"']?{_SHORT_VALUE}"
+    rf"|(?-i:Bearer|Token|Basic|Digest)[\"'+{_SPACES}]+[\w.~+/=\-]{{8}}|://[^\s/:@\"'`]*:[^\s/\"'`]+@"
+    rf"|sshpass{_S}+-p|curl[^\n]*?{_S}-u|-(?:pass(?:word|phrase)?|token|api-key)[= ]|-passin pass:|mysql[^\n]*?{_S}-p|identified by{_S}+[\"']|login{_S}+[^{_SPACES}]+{_S}+password"
+    rf"|[\"'][^\n\"']*(?:#|//|/\*){_S}*[^\n]*?(?:api key|access key|token|password|secret)"
+    r"|(?:pass(?:word|phrase|code)|(?:api|access) key|token)(?: is| was)?:? [\"'「]?[!-~]*[0-9!#$%^&*?~+=]|(?:パスワード|暗証番号|APIキー|トークン)(?:は|が|[:：])"
+    rf"|(?:client|login|connect|auth|authenticate|api)\({_S}*\\?[\"'][a-z0-9_\-+/=.]{{20}}|(?-i:PRIVATE KEY|PuTTY-User-Key-File-|AGE-SECRET-KEY-1|LS0tLS1CRUdJTi)"
+    rf"|(?-i:A(?:KIA|SIA|Iza)|SG\.|sk-|[sr]k_(?:live|test)_|g(?:h[pousr]_|ithub_pat_|lpat-)|xox[abeprs]-|npm_|hf_|pypi-|ya29\.|eyJ){_W}{{10}}"
+    r"|[\u017f\u212a\u0130\u0131\x1c-\x1f]"
 )
 
 

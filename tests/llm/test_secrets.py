@@ -118,3 +118,19 @@ def test_session_ids_are_no_secrets(spark):
         assert S.scan_text(text, S.Segmenter(WORDS))[0] == ["token"]
     for member in ({"sessionToken": ids[0]}, {"session_secret": ids[1]}, {"session": R1}):
         assert S.scan_payload(json.dumps(member), S.Segmenter(WORDS))[0]
+
+
+def test_the_prefilter_loses_nothing_that_scan_finds(spark):
+    texts = [f"DB_PASS={PW}", f"pw = '{PW}'", f"jwt: {R1}", f"session: {R1}", f"Token {R1}", f"Authorization: Basic\t{R1}", f"bearerAuth={R1}", f"set X_PASS {PW}", f"APP_PASS\u3000=\u3000{PW}", f"access key id = {R2}", f"toKen² = {R1}", "SG." + R1[:20] + "." + R1[:20]]
+    out = S.find(spark.createDataFrame([(t,) for t in texts], "text string"), ["text"], "text", WORDS).collect()
+    assert len(out) == len(texts) and all(r.types and (r.types, r.masked) == S.scan_text(r.text, S.Segmenter(WORDS)) for r in out)
+    payloads = [{"pass": PW}, {"e": [{"value": PW, "name": "DB_PASSWORD"}]}, {"e": [{"value": R1, "name": "api key"}]}, {"tokens": [[R1]]}, {"jwt": R1}, {"session": R1}, {"a": f"DB_PASS={PW}"}]
+    texts = [json.dumps(p, indent=i, separators=s) for p in payloads for i, s in ((None, None), (2, (" ,", " :  ")))]
+    out = S.find(spark.createDataFrame([(t,) for t in texts], "text string"), ["text"], "text", WORDS, payload=True).collect()
+    assert len(out) == len(texts) and all(r.types and (r.types, r.masked) == S.scan_payload(r.text, S.Segmenter(WORDS)) for r in out)
+
+
+def test_repeated_members_are_all_masked():
+    text = f'{{"password": "{PW}", "a": {{"token": "{R1}", "token": "none"}}, "password": "{PW}9"}}'
+    kinds, masked = S.scan_payload(text, S.Segmenter(WORDS))
+    assert kinds == ["password", "token"] and masked == text.replace(R1, "*" * len(R1)).replace(PW + "9", "*" * len(PW + "9")).replace(PW, "*" * len(PW))
