@@ -143,7 +143,7 @@ def drift_profile(ingested: DataFrame) -> DataFrame:
         F.when(first == '"', "string").when(first == "[", "array").when(first.isin("t", "f"), "boolean")
         .when(first == "n", "null").otherwise("number")
     )
-    shape = F.substring("value", 1, 40)
+    shape = F.col("value")
     for pattern, mark in ((r"[0-9a-fA-F]{6,}", "h"), (r"[0-9]+", "9"), (r"[a-z]+", "a"), (r"[A-Z]+", "A"), (r"[^\x00-\x7f]+", "u")):
         shape = F.regexp_replace(shape, pattern, mark)
     shape = F.concat(shape, F.floor(F.log2(F.length("value") + 1)).cast("string"))

@@ -76,3 +76,15 @@ def test_too_many_fields_are_an_error(raw, monkeypatch):
     monkeypatch.setattr(drift, "MAX_FIELDS", 2)
     with pytest.raises(ValueError):
         drift.initial_schema(raw)
+
+
+def test_whole_values_tell_fields_apart(spark):
+    """Values alike in their first 40 characters only make no renaming."""
+    rows = []
+    for n in range(240):
+        day = (date(2025, 1, 1) + timedelta(days=n // 3)).strftime("%Y/%m/%d")
+        start = "shared words that start every value here "
+        o = {"id": n, "place": f"{start}~{n % 5}~{n:04d}~0000~00"} if n < 120 else {"id": n, "remark": f"{start}W" + "xyzw"[n % 4] * 9 + "abcd"[n % 3] * 7}
+        rows.append((n, "k", f"/a/{day}/f.jsonl::{n}", json.dumps(o).encode()))
+    report = drift.drift_report(spark.createDataFrame(rows, "id bigint, source_kind string, locator string, payload binary"))
+    assert {(r.change_type, r.field_path, r.new_path) for r in report.collect()} == {("removed", "place", ""), ("added", "remark", "")}
